@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, spm, token_counts, toxicity, url_filter
+from . import exact_dedup, packing, simhash, spm, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op10_url_filter)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op7_simhash, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
