@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, spm, token_counts, toxicity, url_filter
+from . import exact_dedup, packing, simhash, spm, token_counts, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), check=True)
 
@@ -41,10 +45,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op7_simhash, op10_url_filter)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_topk_search, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op7_simhash, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk_search": topk.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle(),
 }
