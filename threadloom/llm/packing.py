@@ -26,7 +26,7 @@ from .common import TOKENIZERS, maybe_broadcast, stored, with_length
 
 WINDOW = 2048
 #: Ranks within a length are counted in this many buckets of the id's hash.
-BUCKETS = 256
+BUCKETS = 32
 #: The plan has a few rows per length; beyond this it is joined by a shuffle.
 PLAN_BROADCAST = 500_000
 

@@ -39,9 +39,9 @@ from .common import TOKENIZERS, texts
 
 SPACE = "▁"
 #: Characters of text whose units are collected before they are matched.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Units a worker remembers.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 _CACHE_BITS = 21
 
 
@@ -207,11 +207,15 @@ def suffix_order(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 def occurrences(model: PieceModel, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix order, and of each piece the range of it that starts so."""
     order, key = suffix_order(text, 8 * model.blocks)
-    n = len(text)
+    ordered = key[order]
+    lo = np.searchsorted(ordered, model.match_key[:, 0], side="left")
+    hi = np.searchsorted(ordered, model.match_high[:, 0], side="right")
+    # pieces of more than 8 bytes: on within the range of their first 8
+    long = np.flatnonzero((model.match_len > 8) & (lo < hi))
     key = np.concatenate([key, np.zeros(8 * model.blocks, np.uint64)])
 
-    def search(goal: np.ndarray, after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(goal), np.int64), np.full(len(goal), n)
+    def search(goal: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -229,7 +233,10 @@ def occurrences(model: PieceModel, text: np.ndarray) -> tuple[np.ndarray, np.nda
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
 
-    return order, search(model.match_key, False), search(model.match_high, True)
+    first = search(model.match_key[long], lo[long], hi[long], False)
+    last = search(model.match_high[long], lo[long], hi[long], True)
+    lo[long], hi[long] = first, last
+    return order, lo, hi
 
 
 def encode_units(model: PieceModel, units: list[str]) -> list[bytes]:
@@ -247,12 +254,13 @@ def encode_units(model: PieceModel, units: list[str]) -> list[bytes]:
     # characters outside the vocabulary: an edge of their own
     head = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0) & ~known)
     width = np.where(text[head] < 0x80, 1, np.where(text[head] < 0xE0, 2, np.where(text[head] < 0xF0, 3, 4)))
-    end = np.concatenate([start + model.match_len[piece], head + width])
+    end = np.concatenate([start + model.match_len[piece], head + width]).astype(np.int32)
     ids = np.concatenate([model.match_id[piece], np.full(len(head), model.n)])
-    start = np.concatenate([start, head])
+    start = np.concatenate([start, head]).astype(np.int32)
+    del piece, known
     unit_of = np.repeat(np.arange(len(raw)), lengths + 1)
-    offset = end - begin[unit_of[start]]
-    by_end = np.argsort(offset, kind="stable")
+    offset = (end - begin[unit_of[start]]).astype(np.int32)
+    by_end = np.argsort(offset.astype(np.uint16) if len(offset) and offset.max() < 1 << 16 else offset, kind="stable")
     start, end, ids, offset = start[by_end], end[by_end], ids[by_end], offset[by_end]
     cuts = np.flatnonzero(np.diff(offset)) + 1
     bounds = np.concatenate([[0], cuts, [len(offset)]])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, with_length
+from .common import TOKENIZERS, stored, with_length
 
 #: Lengths are grouped by their high bits for the suffix sums, so no single
 #: task has to sort the histogram of a corpus with very long documents.
@@ -90,4 +90,5 @@ def quantiles(limits: DataFrame, qs: tuple[float, ...]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, **options) -> DataFrame:
-    return context_limits(length_histogram(docs, **options))
+    # read twice below: stored, so that texts are encoded once
+    return context_limits(stored(length_histogram(docs, **options), "length-histogram"))
