@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, packing, simhash, spm, token_counts, topk, toxicity, url_filter
+from . import exact_dedup, hmm, packing, simhash, spm, suffix_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_topk_search, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op7_simhash, op9_hmm_scoring, op10_url_filter)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_topk_search, op4_sentencepiece, op5_exact_dedup, op6_toxicity, op7_simhash, op8_suffix_dedup, op9_hmm_scoring, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
