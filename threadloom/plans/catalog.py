@@ -15,7 +15,7 @@ from ..operators import search as S
 from ..operators import sessions as L
 from ..operators.lines import lines as extract_lines
 from ..operators.lines import meta_lines
-from ..sources import bridge
+from ..sources import bridge, simple
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -537,3 +537,8 @@ def artifact_literal_needles(spark, d):
     needles = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("needle"))
     docs = spark.read.parquet(f"{d}/documents.parquet").select("text")
     return docs.join(needles, F.expr("instr(text, needle) > 0")).groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+@query(None)
+def export_simple(spark, d):
+    return simple.render(bridge.sessions(spark, d), bridge.messages(spark, d))
