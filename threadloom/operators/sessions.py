@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import under_dir
 
 KEY = ["harness", "id", "source"]
-NEWEST = [F.desc, F.asc]
 
 
 def newest_first(sessions: DataFrame) -> DataFrame:
