@@ -273,6 +273,12 @@ def _repeats_of_owners(strings: DataFrame, least: int, chunk: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_chunks(batches, ["owner"], 16_384):
+            # rows of equal id and text give each string twice: one occurrence
+            again = _equal(t.column("string").combine_chunks())
+            for c in ("owner", "row", "start"):
+                x = t.column(c).to_numpy()
+                again = again & (x[1:] == x[:-1])
+            t = t.filter(pa.array(np.append(True, ~again))).combine_chunks()
             owner = t.column("owner").to_numpy()
             string = t.column("string").combine_chunks()
             changes = np.append(True, owner[1:] != owner[:-1])
