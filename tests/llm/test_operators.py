@@ -231,6 +231,31 @@ def test_simhash_recall_and_groups(real):
     assert {r.doc_id for r in real.collect()} - {r.doc_id for r in simhash.drop_near_duplicates(real).collect()} == got
 
 
+@pytest.mark.parametrize("bits", [50, simhash.MAX_DISTANCE])
+def test_simhash_finds_isolated_pairs(spark, bits):
+    r = np.random.default_rng(bits)
+    one = r.integers(0, 256, (2000, simhash.BITS // 8)).astype(np.uint8)
+    flips = np.zeros((len(one), simhash.BITS), np.uint8)
+    for f in flips:
+        f[r.permutation(simhash.BITS)[:bits]] = 1
+    two = one ^ np.packbits(flips, axis=1)
+    pairs = {frozenset((a.tobytes(), b.tobytes())) for a, b in zip(one, two)}
+    fps = spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")
+    got = {frozenset((bytes(e.u), bytes(e.v))) for e in simhash.near_edges(fps).collect()}
+    assert got <= pairs and len(got) > 0.95 * len(pairs)
+
+
+def test_simhash_sets_keep_their_recall_in_large_groups():
+    a = np.random.default_rng(4).integers(0, 2, (simhash.SETS_DISTANCE * 25, simhash.BITS))
+    b = a.copy()
+    for i, x in enumerate(b):
+        at = np.random.default_rng(i).permutation(simhash.BITS)[: simhash.SETS_DISTANCE]
+        x[at] = 1 - x[at]
+    for size in (12, 16, 20):
+        same = (a == b)[:, simhash.set_bits(size)[0]].all(axis=2)
+        assert same.any(axis=1).mean() > 0.7
+
+
 def test_simhash_awkward(docs, empty):
     assert simhash.drop_near_duplicates(empty).collect() == []
     kept = simhash.drop_near_duplicates(docs)
