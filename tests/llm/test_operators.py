@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on awkward tables."""
 
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -245,6 +246,27 @@ def test_simhash_finds_isolated_pairs(spark, bits):
     assert got <= pairs and len(got) > 0.95 * len(pairs)
 
 
+def test_simhash_recall_on_near_copies_by_word_order(spark):
+    """Candidates come from shared words, not from fingerprints."""
+    docs = [(r.doc_id, r.text.lower().split()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    docs = sorted((i, w) for i, w in docs if len(w) >= 40)
+    holders, pairs = defaultdict(list), Counter()
+    for n, (_, w) in enumerate(docs):
+        for x in {tuple(w[i : i + 4]) for i in range(len(w) - 3)}:
+            holders[x].append(n)
+    for ns in holders.values():
+        pairs.update((a, b) for a in ns for b in ns if a < b and len(ns) <= 50)
+    near = []
+    for (a, b), n in pairs.items():
+        one, two = docs[a][1], docs[b][1]
+        if one != two and 2 * n > 0.5 * (len(one) + len(two)) and SequenceMatcher(None, one, two, False).ratio() >= 0.85:
+            near.append((a, b))
+    words = [np.frombuffer(simhash.Fingerprints().of(" ".join(docs[n][1])), np.uint64) for p in near for n in p]
+    far = simhash.distance(np.array(words[::2]), np.array(words[1::2]))
+    share = (far <= simhash.MAX_DISTANCE).mean()
+    assert len(near) >= 20 and share >= 0.95, (len(near), share)
+
+
 def test_simhash_sets_keep_their_recall_in_large_groups():
     a = np.random.default_rng(4).integers(0, 2, (simhash.SETS_DISTANCE * 25, simhash.BITS))
     b = a.copy()
