@@ -378,6 +378,44 @@ def test_hmm_training_raises_likelihood(real):
     assert like(three) > like(one)
 
 
+def test_hmm_words_outside_the_vocabulary_have_their_share(spark, real):
+    texts = [r.text for r in real.collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n = Counter(w for t in texts if t for w in hmm.words(t))
+    known = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:200]]
+    classes = 7
+    rare = {w: c for w, c in n.items() if w not in set(known)}
+    counts = hmm.word_counts(docs, "text")
+    shares, unseen = hmm.class_shares(counts, known, classes)
+    got = {r["hash"]: r.share for r in shares.collect()}
+    total, kept = Counter(), Counter(range(classes))  # a mass of one beside the words seen once
+    for w, c in rare.items():
+        total[hmm.word_hash(w) % classes] += c
+        kept[hmm.word_hash(w) % classes] += c == 1
+    assert len(got) == len(rare)
+    for w, c in rare.items():
+        k = hmm.word_hash(w) % classes
+        assert got[hmm.word_hash(w)] == pytest.approx(np.log(c / (total[k] + kept[k])))
+    # all of a class and its unseen words make 1
+    for k in range(classes):
+        seen = [np.exp(v) for h, v in got.items() if h % classes == k]
+        assert sum(seen) + np.exp(unseen[k]) * (len(seen) + 1) == pytest.approx(1)
+    seqs = hmm.stored(hmm.sequences(docs, "doc_id", "text", known, classes), "test-hmm")
+    for r in hmm.with_shares(seqs, shares, unseen).collect():
+        w = hmm.words(texts[r.id] or "")
+        assert r.tail == pytest.approx(sum(got[hmm.word_hash(x)] for x in w if x in rare), abs=1e-6)
+
+
+def test_hmm_junk_scores_worse_than_prose(spark, real):
+    r = np.random.default_rng(8)
+    junk = [" ".join("".join(r.choice(list("qxzjkvw"), 9)) for _ in range(80)) for _ in range(20)]
+    prose = [x.text for x in real.collect() if x.text and len(hmm.words(x.text)) >= 60]
+    rows = [(i, t) for i, t in enumerate(prose + junk)]
+    got = hmm.score_corpus(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary=300).collect()
+    ppl = {x.doc_id: x.perplexity for x in got}
+    assert np.median([ppl[i] for i in range(len(prose))]) < min(ppl[len(prose) + i] for i in range(len(junk)))
+
+
 def test_hmm_awkward(docs, empty):
     assert hmm.score_corpus(empty).collect() == []
     got = hmm.score_corpus(docs).collect()

@@ -1,10 +1,14 @@
 """Language-model scoring by a hidden Markov model over words.
 
-The vocabulary is the most frequent words by an exact count over the corpus;
-other words fall into hashed classes.  Texts become symbol sequences once, in
-the shared folder.  Each Baum-Welch round runs forward-backward over all of
-them: every task sums its expected counts, which are added across tasks as
-integers (2^-16 of a count), so the model doesn't depend on the order of adding.
+Every word's exact count is kept in a stored table.  The most frequent words are
+symbols of their own.  Other words fall into hashed classes, and a word is emitted with its class's probability times its
+share of the class, joined from the table of counts.  A class keeps a mass for
+unseen words: that of its words seen once, and one more.
+
+Texts become symbol sequences once, in the shared folder.  Each Baum-Welch round
+runs forward-backward over all of them: every task sums its expected counts,
+which are added across tasks as integers (2^-16 of a count), so the model doesn't
+depend on the order of adding; nor do scores, as shares are added as integers too.
 Training sequences are stretches of at most ``SEGMENT`` words, together the
 whole corpus.
 
@@ -29,20 +33,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts
 
 STATES = 8
 VOCABULARY = 8_000
-#: Classes of the words outside the vocabulary.
-CLASSES = 64
+#: Words of the vocabulary for each class of the words outside it.
+CLASS_WORDS = 125
 ROUNDS = 4
 SEGMENT = 128
 #: Words that a task works on at a time.
 BATCH_WORDS = 250_000
 _UNIT = 1 << 16
+#: Logarithms of shares are added in units of 2^-32.
+_LOG_UNIT = 1 << 32
 _COUNTER_WORDS = 300_000
 WORD = re.compile(r"\w+")
 
@@ -74,12 +81,41 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def model_size(total: int, least: int = VOCABULARY) -> tuple[int, int]:
+    """Words with a symbol of their own, and classes, for ``total`` words."""
+    return least, -(-least // CLASS_WORDS)
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """At most ``most`` words; of those that are equally frequent all or none."""
+    # at most as many rows as the root of twice the corpus's words
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    n, size = sizes.column("n").to_numpy(), sizes.column("words").to_numpy()
+    order = np.argsort(-n)
+    within = order[np.cumsum(size[order]) <= most]
+    if not len(within):
+        return []
+    chosen = counts.where(F.col("n") >= int(n[within[-1]])).toArrow()
+    found = zip(chosen.column("word").to_pylist(), chosen.column("n").to_pylist())
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def word_hash(word: str) -> int:
+    """63 bits, those of ``hashed`` in Spark."""
+    return xxhash.xxh64_intdigest(word, 42) >> 1
+
+
+def hashed(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 1)
+
+
 class Symbols(dict):
-    """word -> symbol; the memo of classes is bounded."""
+    """word -> symbol, or for a word outside the vocabulary the size of that and
+    the word's hash together; the memo of those is bounded."""
 
-    def __init__(self, vocabulary: list[str], classes: int, most: int = 300_000):
+    def __init__(self, vocabulary: list[str], most: int = 300_000):
         super().__init__({w: i for i, w in enumerate(vocabulary)})
-        self.vocabulary, self.classes, self.most = vocabulary, classes, len(vocabulary) + most
+        self.vocabulary, self.most = vocabulary, len(vocabulary) + most
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
@@ -87,25 +123,69 @@ class Symbols(dict):
             self.update((w, i) for i, w in enumerate(self.vocabulary))
             if word in self:
                 return self[word]
-        s = self[word] = len(self.vocabulary) + xxhash.xxh3_64_intdigest(word) % self.classes
+        s = self[word] = len(self.vocabulary) + word_hash(word)
         return s
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], classes: int = CLASSES) -> DataFrame:
-    """(id, symbols): symbols as little-endian uint16 bytes, null for a null text."""
+def sequences(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], classes: int) -> DataFrame:
+    """(row, id, symbols, rare): ``row`` numbers the rows, symbols are little-
+    endian uint32 bytes, null for a null text, and ``rare`` are the hashes of the
+    words outside the vocabulary.  Must be stored before rows are matched."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
+    known = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Symbols(vocabulary, classes)
-        get = table.__getitem__
+        get = Symbols(vocabulary).__getitem__
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            out = []
+            out, rare, ends = [], [np.zeros(0, np.int64)], [0]
             for t in texts(b.column("text")):
-                out.append(None if t is None else np.fromiter(map(get, words(t)), np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "symbols"])
+                got = np.fromiter(map(get, words(t)) if t else (), np.uint64)
+                outside = got >= known
+                hashes = got[outside] - np.uint64(known)
+                got[outside] = known + hashes % np.uint64(classes)
+                out.append(None if t is None else got.astype(np.uint32).tobytes())
+                rare.append(hashes.astype(np.int64))
+                ends.append(ends[-1] + len(hashes))
+            rows = np.arange(row, row + len(out))
+            row += len(out)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), b.column("id"), pa.array(out, pa.binary()), lists], ["row", "id", "symbols", "rare"]
+            )
 
-    return chosen.mapInArrow(run, f"id {kind}, symbols binary")
+    return chosen.mapInArrow(run, f"row bigint, id {kind}, symbols binary, rare array<bigint>")
+
+
+def class_shares(counts: DataFrame, known: list[str], classes: int) -> tuple[DataFrame, np.ndarray]:
+    """(hash, share) of each word outside the vocabulary, ``share`` being the
+    logarithm of its part of its class; and the logarithm for an unseen word of
+    each class.  A class has as many unseen words as seen ones and one more."""
+    least = counts.sparkSession.createDataFrame([(w,) for w in known], "word string")
+    rare = counts.join(F.broadcast(least), "word", "left_anti").select(hashed("word").alias("hash"), "n")
+    rare = rare.groupBy("hash").agg(F.sum("n").alias("n")).withColumn("class", (F.col("hash") % classes).cast("int"))
+    once = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
+    stats = rare.groupBy("class").agg(F.sum("n").alias("total"), (once + 1).alias("kept"), (F.count("*") + 1).alias("types"))
+    unseen = np.zeros(classes)
+    sizes = stats.collect()  # one row for each class of the model
+    for r in sizes:
+        unseen[r["class"]] = np.log(r["kept"] / (r["total"] + r["kept"]) / r["types"])
+    whole = counts.sparkSession.createDataFrame(
+        [(r["class"], r["total"] + r["kept"]) for r in sizes], "class int, whole bigint"
+    )
+    return rare.join(F.broadcast(whole), "class").select("hash", F.log(F.col("n") / F.col("whole")).alias("share")), unseen
+
+
+def with_shares(seqs: DataFrame, shares: DataFrame, unseen: np.ndarray) -> DataFrame:
+    """Stored sequences and ``tail``, the sum of the logarithms of the shares of
+    a row's words outside the vocabulary."""
+    each = seqs.select("row", F.explode("rare").alias("hash")).join(shares, "hash", "left")
+    none = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), (F.col("hash") % len(unseen) + 1).cast("int"))
+    unit = F.round(F.coalesce("share", none) * _LOG_UNIT).cast("long")
+    tails = stored(each.groupBy("row").agg(F.sum(unit).alias("units")), "hmm-tails")
+    tail = F.coalesce(F.col("units") / _LOG_UNIT, F.lit(0.0)).alias("tail")
+    return seqs.join(tails, "row", "left").select("id", "symbols", tail)
 
 
 @dataclass
@@ -134,7 +214,7 @@ def segments(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray,
     number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
     length = np.minimum(size, lengths[owner] - number * size)
     order = np.argsort(-length, kind="stable")
-    flat = np.concatenate(seqs) if len(seqs) else np.zeros(0, np.uint16)
+    flat = np.concatenate(seqs) if len(seqs) else np.zeros(0, np.uint32)
     at = (np.cumsum(lengths) - lengths)[owner] + number * size
     owner, length, at = owner[order], length[order], at[order]
     grid = np.zeros((size, len(owner)), np.int64)
@@ -239,8 +319,8 @@ def _batched(column: pa.Array) -> Iterator[list[np.ndarray | None]]:
     held: list[np.ndarray | None] = []
     size = 0
     for raw in texts(column):
-        held.append(None if raw is None else np.frombuffer(raw, np.uint16))
-        size += 0 if raw is None else len(raw) // 2
+        held.append(None if raw is None else np.frombuffer(raw, np.uint32))
+        size += 0 if raw is None else len(raw) // 4
         if size >= BATCH_WORDS:
             yield held
             held, size = [], 0
@@ -249,27 +329,31 @@ def _batched(column: pa.Array) -> Iterator[list[np.ndarray | None]]:
 
 
 def _round(seqs: DataFrame, model: HMM) -> HMM:
-    """One Baum-Welch round over the stored sequences."""
+    """One Baum-Welch round over the stored sequences.  Counts have one row for
+    each symbol, then for each state's moves, then for the starts."""
     k, m = model.emit.shape
+    names = [f"n{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + k * k + k * m)
+        total = np.zeros((m + k + 1, k))
         for b in batches:
             for part in _batched(b.column("symbols")):
-                got = expected_counts(model, [x for x in part if x is not None and len(x)])
-                total += np.concatenate([x.ravel() for x in got[:3]])
+                start, move, emit, _ = expected_counts(model, [x for x in part if x is not None and len(x)])
+                total[:m] += emit.T
+                total[m : m + k] += move
+                total[m + k] += start
         whole = np.rint(total * _UNIT).astype(np.int64)
-        at = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at])], ["i", "n"])
-
-    counts = np.zeros(k + k * k + k * m)
-    parts = seqs.select("symbols").mapInArrow(run, "i bigint, n bigint")
-    # one number for each parameter of the model comes back, whatever the corpus
-    for r in parts.groupBy("i").agg(F.sum("n").alias("n")).collect():
-        counts[r[0]] = r[1] / _UNIT
-    start = counts[:k] + 1e-2
-    move = counts[k : k + k * k].reshape(k, k) + 1e-2
-    emit = counts[k + k * k :].reshape(k, m) + 1e-3
+        at = np.flatnonzero(whole.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(whole[at, i]) for i in range(k))], ["i", *names])
+
+    counts = np.zeros((m + k + 1, k))
+    parts = seqs.select("symbols").mapInArrow(run, ", ".join(f"{n} bigint" for n in ["i", *names]))
+    # one row for each symbol of the model comes back
+    got = parts.groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    counts[got.column("i").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1) / _UNIT
+    start = counts[m + k] + 1e-2
+    move = counts[m : m + k] + 1e-2
+    emit = counts[:m].T + 1e-3
     return HMM(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
@@ -281,21 +365,23 @@ def train(
     states: int = STATES,
     rounds: int = ROUNDS,
 ) -> tuple[HMM, DataFrame]:
-    """The model, and the stored sequences it was trained on."""
+    """The model, and the sequences it was trained on.  ``vocabulary`` is the
+    least number of words with a symbol of their own."""
     counts = stored(word_counts(docs, text_col), "hmm-words")
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
     total = counts.agg(F.sum("n")).first()[0] or 0
+    vocabulary, classes = model_size(total, vocabulary)
+    top = most_frequent(counts, vocabulary)
     known = [w for w, _ in top]
-    unigram = np.array([n for _, n in top] + [(total - sum(n for _, n in top)) / CLASSES] * CLASSES, float)
-    seqs = stored(sequences(docs, id_col, text_col, known), "hmm-sequences")
+    unigram = np.array([n for _, n in top] + [(total - sum(n for _, n in top)) / classes] * classes, float)
+    seqs = stored(sequences(docs, id_col, text_col, known, classes), "hmm-sequences")
     model = HMM.initial(unigram, states)
     for _ in range(rounds):
         model = _round(seqs, model)
-    return model, seqs
+    return model, with_shares(seqs, *class_shares(counts, known, classes))
 
 
 def score(seqs: DataFrame, model: HMM) -> DataFrame:
-    """(id, n_words, log_likelihood, perplexity) of stored sequences."""
+    """(id, n_words, log_likelihood, perplexity) of sequences with shares."""
     kind = seqs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +389,17 @@ def score(seqs: DataFrame, model: HMM) -> DataFrame:
             n: list[int | None] = []
             like: list[float | None] = []
             for part in _batched(b.column("symbols")):
-                got = log_likelihoods(model, [x if x is not None else np.zeros(0, np.uint16) for x in part])
+                got = log_likelihoods(model, [x if x is not None else np.zeros(0, np.uint32) for x in part])
                 n += [None if x is None else len(x) for x in part]
                 like += [None if x is None else float(y) for x, y in zip(part, got)]
+            like = [None if y is None else y + t for y, t in zip(like, b.column("tail").to_pylist())]
             ppl = [float(np.exp(min(-y / x, 700))) if x else None for x, y in zip(n, like)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n, pa.int64()), pa.array(like, pa.float64()), pa.array(ppl, pa.float64())],
                 ["id", "n_words", "log_likelihood", "perplexity"],
             )
 
-    return seqs.mapInArrow(run, f"id {kind}, n_words bigint, log_likelihood double, perplexity double")
+    return seqs.select("id", "symbols", "tail").mapInArrow(run, f"id {kind}, n_words bigint, log_likelihood double, perplexity double")
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
