@@ -378,6 +378,11 @@ def test_hmm_training_raises_likelihood(real):
     assert like(three) > like(one)
 
 
+def test_hmm_model_grows_with_the_corpus():
+    sizes = [hmm.model_size(n) for n in (4 * 10**6, 80 * 10**6, 5 * 10**9)]
+    assert sizes[0][0] >= 8_000 and sizes[0] < sizes[1] < sizes[2] and sizes[0][1] < sizes[1][1] < sizes[2][1]
+
+
 def test_hmm_words_outside_the_vocabulary_have_their_share(spark, real):
     texts = [r.text for r in real.collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

@@ -1,7 +1,9 @@
 """Language-model scoring by a hidden Markov model over words.
 
 Every word's exact count is kept in a stored table.  The most frequent words are
-symbols of their own.  Other words fall into hashed classes, and a word is emitted with its class's probability times its
+symbols of their own; how many follows the square root of the corpus's words,
+so the model grows with the input.  Other words fall into hashed classes, whose
+number grows alike, and a word is emitted with its class's probability times its
 share of the class, joined from the table of counts.  A class keeps a mass for
 unseen words: that of its words seen once, and one more.
 
@@ -25,6 +27,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import stored, texts
 
 STATES = 8
+#: Symbols of their own, at least, and how many for the root of the corpus's words.
 VOCABULARY = 8_000
+VOCABULARY_ROOT = 4
 #: Words of the vocabulary for each class of the words outside it.
 CLASS_WORDS = 125
 ROUNDS = 4
@@ -83,7 +88,8 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def model_size(total: int, least: int = VOCABULARY) -> tuple[int, int]:
     """Words with a symbol of their own, and classes, for ``total`` words."""
-    return least, -(-least // CLASS_WORDS)
+    vocabulary = max(least, VOCABULARY_ROOT * math.isqrt(total))
+    return vocabulary, -(-vocabulary // CLASS_WORDS)
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
