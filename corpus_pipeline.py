@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Context windows of what is left."""
-    return packing.pack(docs)
+    return packing.pack(docs, unknown=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -96,6 +96,17 @@ def test_packing_awkward(docs, empty):
     assert None not in ids and 3 not in ids and 4 not in ids and ids[2] == 2 and ids[6] > 1000
 
 
+def test_packing_keeps_documents_without_an_id(spark, docs):
+    encode = encoder("byte_bpe_50k.tiktoken")
+    extra = spark.createDataFrame([_row(None, LONG[:2000]), _row(None, LONG[:2000])], SCHEMA)
+    got = packing.pack(docs.unionByName(extra), window=64, unknown=True).collect()
+    used = sum(s["len"] for w in got for s in w["segments"] if s["doc_id"] is None)
+    assert used == sum(len(encode(t)) for t in (ROWS[4][1], LONG[:2000], LONG[:2000]))
+    cuts = [w.window_id for w in got if any(s["doc_id"] is None for s in w["segments"]) and w.window_id < 0]
+    assert len(cuts) > 2 and len(set(cuts)) == len(cuts)
+    assert all(w.used <= 64 for w in got)
+
+
 # Token counts
 
 

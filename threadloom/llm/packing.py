@@ -9,8 +9,9 @@ remaining capacity finds.  The plan says which ranks of a length go to which
 windows; ranks are counted in parallel, and one join by length applies it.  The
 result is that of the one-by-one method over the whole corpus, not per shard.
 
-Defined cases: documents with a null id or null text, and empty ones, take no
-space and are left out; pieces of equal length rank by bucket of the id's hash
+Defined cases: documents with a null text and empty ones take no space and are
+left out; those with a null id are packed with ``unknown``, as segments with a
+null doc_id, and else left out; pieces of equal length rank by bucket of the id's hash
 and then id, rows with repeated ids each get a place; an empty table gives no
 windows; other columns are not read.
 """
@@ -111,26 +112,31 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[int, int, int, in
 
 
 def pieces(lengths: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Full windows cut from overlong documents, and what is left to pack."""
-    lengths = lengths.where(F.col("id").isNotNull() & (F.col("n") > 0))
+    """Full windows cut from overlong documents, and what is left to pack.  Rows
+    with a null id need a ``row`` that tells them apart, or are left out."""
+    if "row" not in lengths.columns:
+        lengths = lengths.where(F.col("id").isNotNull()).withColumn("row", F.lit(None).cast("long"))
+    lengths = lengths.where(F.col("n") > 0)
     full = lengths.where(F.col("n") >= window).select(
         "id",
+        "row",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / window) - 1)).alias("cut"),
     )
-    full = full.select("id", (F.col("cut") * window).alias("start"), F.lit(window).cast("long").alias("len"))
+    full = full.select("id", "row", (F.col("cut") * window).alias("start"), F.lit(window).cast("long").alias("len"))
     rest = lengths.select(
-        "id", (F.floor(F.col("n") / window) * window).alias("start"), (F.col("n") % window).alias("len")
+        "id", "row", (F.floor(F.col("n") / window) * window).alias("start"), (F.col("n") % window).alias("len")
     ).where("len > 0")
     return full, rest
 
 
 def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Windows from (id, n): ``window_id, n_docs, used, segments``, segments
+    """Windows from (id, n) and perhaps ``row``: ``window_id, n_docs, used, segments``, segments
     being an array of (doc_id, start, len, offset) in order of offset.  Numbers
-    of packed windows are >= 0; a full cut has -1 - xxhash64(id, start)."""
+    of packed windows are >= 0; a full cut has -1 - xxhash64(id, start, row); a
+    null ``row``, which known ids have, doesn't change a hash."""
     spark = lengths.sparkSession
     full, rest = pieces(lengths, window)
-    rest = rest.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+    rest = rest.withColumn("b", F.pmod(F.xxhash64("id", "row"), F.lit(BUCKETS)).cast("int"))
     counts = rest.groupBy("len", "b").agg(F.count("*").alias("n"))
     counts = stored(counts, "packing-counts")  # at most window x BUCKETS rows
     histogram = {r[0]: r[1] for r in counts.groupBy("len").agg(F.sum("n")).collect()}
@@ -140,7 +146,7 @@ def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     before = Window.partitionBy("len").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("len", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    local = Window.partitionBy("len", "b").orderBy("id", "start")
+    local = Window.partitionBy("len", "b").orderBy("id", "start", "row")
     ranked = rest.withColumn("local", F.row_number().over(local) - 1).join(
         F.broadcast(base), ["len", "b"]
     )
@@ -159,7 +165,7 @@ def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     packed = placed.groupBy("window_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     cuts = full.select(
-        (-1 - F.abs(F.xxhash64("id", "start") % F.lit(2**62))).alias("window_id"),
+        (-1 - F.abs(F.xxhash64("id", "start", "row") % F.lit(2**62))).alias("window_id"),
         F.array(F.struct(F.lit(0).cast("long").alias("offset"), F.col("id").alias("doc_id"), "start", "len")).alias("s"),
     )
     return packed.unionByName(cuts).select(
@@ -177,9 +183,14 @@ def pack(
     window: int = WINDOW,
     tokenizer: str = "byte_bpe_50k.tiktoken",
     folder: str = TOKENIZERS,
+    unknown: bool = False,
 ) -> DataFrame:
-    """Packs whole documents by their exact encoded length.  Texts are encoded
-    once; what is stored and shuffled after that is (id, length)."""
+    """Packs whole documents by their exact encoded length, those with a null id
+    only if ``unknown``.  Texts are encoded once; what is stored and shuffled
+    after that is (id, length)."""
     lengths = with_length(docs, text_col, tokenizer, folder, {"id": id_col})
-    lengths = stored(lengths.select("id", F.col("n_tokens").alias("n")), "packing-lengths")
+    chosen = [F.col("id"), F.col("n_tokens").alias("n")]
+    if unknown:
+        chosen.append(F.when(F.col("id").isNull(), F.monotonically_increasing_id()).alias("row"))
+    lengths = stored(lengths.select(*chosen), "packing-lengths")
     return pack_lengths(lengths, window)
