@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on awkward tables."""
 
+import math
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
@@ -107,6 +108,13 @@ def test_packing_keeps_documents_without_an_id(spark, docs):
     assert all(w.used <= 64 for w in got)
 
 
+def test_packing_numbers_every_cut(spark):
+    rows = [(1, 4096)] * 2 + [(2, 2048)] * 3
+    got = packing.pack_lengths(spark.createDataFrame(rows, "id bigint, n bigint")).collect()
+    assert len({w.window_id for w in got}) == len(got) == 7 and all(w.used == 2048 for w in got)
+    assert sorted((s.doc_id, s.start) for w in got for s in w.segments) == sorted([(1, 0), (1, 2048)] * 2 + [(2, 0)] * 3)
+
+
 # Token counts
 
 
@@ -114,8 +122,16 @@ def test_token_counts(docs, empty):
     encode = encoder("byte_bpe_50k.tiktoken")
     lengths = [len(encode(r[1])) for r in ROWS if r[1] is not None]
     assert token_counts.token_counts(empty).collect() == []
-    for r in token_counts.token_counts(docs).collect():
+    got = token_counts.token_counts(docs).collect()
+    assert sorted(r.context_limit for r in got if r.kind == "limit") == sorted(set(lengths) | set(token_counts.LIMITS))
+    ordered = sorted(lengths)
+    for r in got:
+        if r.kind == "quantile":
+            assert r.context_limit == ordered[max(1, math.ceil(r.q * len(ordered))) - 1]
+    assert sum(r.kind == "quantile" for r in got) == len(token_counts.QUANTILES)
+    for r in got:
         m = r.context_limit
+        assert r.n_docs == sum(x == m for x in lengths) and r.quantile == pytest.approx(sum(x <= m for x in lengths) / len(lengths))
         assert r.total_tokens == sum(lengths) and r.docs_le == sum(x <= m for x in lengths)
         assert r.docs_gt == sum(x > m for x in lengths) and r.truncated_tokens == sum(min(x, m) for x in lengths)
 

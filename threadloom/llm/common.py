@@ -6,9 +6,11 @@ from __future__ import annotations
 import atexit
 import base64
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor reaches, from ``spark.checkpoint.dir``.
 
-    Only a session that leaves the setting empty (tests, one machine) gets a
-    folder of its own.
+    Only a session on one machine (a local master) may leave the setting empty;
+    it gets a folder of its own.  On a cluster that folder would be another one on
+    every machine, so there this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -60,6 +66,32 @@ def clean() -> None:
         _remove(*_made.pop())
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like ``stored`` for results.  At the end all else that was
+    stored meanwhile is deleted, so only the results take up the shared folder."""
+    mark, kept = len(_made), []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.append(_made[-1])
+        return out
+
+    yield result
+    for at in _made[mark:]:
+        if at not in kept and "/threadloom/" in at[1]:
+            _remove(*at)
+            _made.remove(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the stored table that ``df`` reads, if it is one of this session."""
+    files = df.inputFiles()
+    for at in [m for m in _made if files and f"{m[1].split('://')[-1]}/" in files[0]]:
+        _remove(*at)
+        _made.remove(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, which cuts the
     lineage: a lost executor costs no recomputation of what came before."""
@@ -81,6 +113,32 @@ def maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if fits(df, most) else df
 
 
+def position(docs: DataFrame, name: str) -> int:
+    """Where the column ``name`` stands; one of that spelling comes before one
+    that differs in case."""
+    if name in docs.columns:
+        return docs.columns.index(name)
+    low = [c.lower() for c in docs.columns]
+    if name.lower() not in low:
+        raise ValueError(f"no column {name!r} among {docs.columns}")
+    return low.index(name.lower())
+
+
+def pick(docs: DataFrame, row: bool = False, **columns: str) -> DataFrame:
+    """The chosen columns under new names, and with ``row`` a struct of all.
+    Columns are taken by position, so their names may hold dots or backticks or
+    differ in case only."""
+    at = {new: position(docs, old) for new, old in columns.items()}
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    whole = [F.struct(*plain.columns).alias("row")] if row else []
+    return plain.select(*[F.col(f"_{i}").alias(new) for new, i in at.items()], *whole)
+
+
+def unpick(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` back from the ``row`` structs of ``pick``."""
+    return rows.select("row.*").toDF(*docs.columns)
+
+
 class WordHash(dict):
     """word -> 64-bit hash that is the same in every process.  The memo is
     emptied when it holds ``most`` words, so a worker's memory is bounded."""
@@ -164,9 +222,7 @@ def with_length(
 ) -> DataFrame:
     """``keep`` ({output name: column of docs}) and ``n_tokens``, the exact
     encoded length of ``text_col``: null for a null text, 0 for an empty one."""
-    chosen = docs.select(
-        F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in keep.items()]
-    )
+    chosen = pick(docs, text=text_col, **keep)
     names = list(keep)
     schema = ", ".join([f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names])
 

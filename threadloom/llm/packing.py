@@ -11,9 +11,11 @@ result is that of the one-by-one method over the whole corpus, not per shard.
 
 Defined cases: documents with a null text and empty ones take no space and are
 left out; those with a null id are packed with ``unknown``, as segments with a
-null doc_id, and else left out; pieces of equal length rank by bucket of the id's hash
-and then id, rows with repeated ids each get a place; an empty table gives no
-windows; other columns are not read.
+null doc_id, and else left out; pieces of equal length (ties) rank by bucket of
+the id's hash and then id; rows with repeated ids each get a place, and each of
+their full cuts a window of its own; a very long document gives as many full
+windows as it has, made by a generator and never held together; an empty table
+gives no windows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import TOKENIZERS, maybe_broadcast, stored, with_length
 
 WINDOW = 2048
-#: Ranks within a length are counted in this many buckets of the id's hash.
+#: Ranks within a length are counted in buckets of the id's hash: so many at
+#: least, and one for so many pieces.
 BUCKETS = 32
+BUCKET_ROWS = 1 << 20
 #: The plan has a few rows per length; beyond this it is joined by a shuffle.
 PLAN_BROADCAST = 500_000
 
@@ -132,13 +136,14 @@ def pieces(lengths: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows from (id, n) and perhaps ``row``: ``window_id, n_docs, used, segments``, segments
     being an array of (doc_id, start, len, offset) in order of offset.  Numbers
-    of packed windows are >= 0; a full cut has -1 - xxhash64(id, start, row); a
-    null ``row``, which known ids have, doesn't change a hash."""
+    of packed windows are >= 0 and without gaps; full cuts are numbered from -1
+    down, with gaps and never twice."""
     spark = lengths.sparkSession
     full, rest = pieces(lengths, window)
-    rest = rest.withColumn("b", F.pmod(F.xxhash64("id", "row"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, -(-rest.count() // BUCKET_ROWS))
+    rest = rest.withColumn("b", F.pmod(F.xxhash64("id", "row"), F.lit(buckets)).cast("int"))
     counts = rest.groupBy("len", "b").agg(F.count("*").alias("n"))
-    counts = stored(counts, "packing-counts")  # at most window x BUCKETS rows
+    counts = stored(counts, "packing-counts")  # at most window x buckets rows
     histogram = {r[0]: r[1] for r in counts.groupBy("len").agg(F.sum("n")).collect()}
     steps = spark.createDataFrame(
         plan(histogram, window),
@@ -148,7 +153,7 @@ def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     base = counts.select("len", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     local = Window.partitionBy("len", "b").orderBy("id", "start", "row")
     ranked = rest.withColumn("local", F.row_number().over(local) - 1).join(
-        F.broadcast(base), ["len", "b"]
+        maybe_broadcast(base, PLAN_BROADCAST), ["len", "b"]
     )
     ranked = ranked.withColumn("rank", F.col("base") + F.col("local"))
     placed = ranked.join(
@@ -165,7 +170,7 @@ def pack_lengths(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     packed = placed.groupBy("window_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     cuts = full.select(
-        (-1 - F.abs(F.xxhash64("id", "start", "row") % F.lit(2**62))).alias("window_id"),
+        (-1 - F.monotonically_increasing_id()).alias("window_id"),
         F.array(F.struct(F.lit(0).cast("long").alias("offset"), F.col("id").alias("doc_id"), "start", "len")).alias("s"),
     )
     return packed.unionByName(cuts).select(

@@ -2,12 +2,16 @@
 
 Documents are aggregated by encoded length into a histogram, whose size is the
 number of distinct lengths and not of documents.  Suffix sums over it answer,
-for every context limit that is a length of the corpus, how many documents and
-tokens fit, how many tokens truncation keeps, and the rank quantile there.
+for every context limit that is a length of the corpus and for the usual limits
+(``LIMITS``, whether a document has that length or not), how many documents and
+tokens fit, how many tokens truncation keeps, and the rank quantile there; and
+for the shares of ``QUANTILES`` the least length that so many documents don't
+exceed, with the same figures.
 
 Defined cases: a null text has no length and is left out; an empty text has
-length 0; ties and repeated rows each count; an empty table gives an empty
-histogram; other columns are not read.
+length 0; ties and repeated rows each count; a very long text counts with its
+whole length; a limit above the longest document truncates nothing; an empty
+table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from .common import TOKENIZERS, stored, with_length
 #: Lengths are grouped by their high bits for the suffix sums, so no single
 #: task has to sort the histogram of a corpus with very long documents.
 BLOCK = 4096
+#: Context limits that are answered beside the lengths that occur.
+LIMITS = (128, 256, 512, 1024, 2048, 4096, 8192, 16_384, 32_768, 65_536, 131_072, 262_144, 1_048_576)
+QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
 
 
 def length_histogram(
@@ -37,10 +44,16 @@ def length_histogram(
     )
 
 
-def context_limits(histogram: DataFrame) -> DataFrame:
-    """Per distinct length taken as a context limit: documents and tokens in
-    all, those longer, tokens that truncation at the limit keeps and loses, and
-    ``docs_le`` with the share of documents no longer (the quantile)."""
+def context_limits(histogram: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataFrame:
+    """Per distinct length and per limit, taken as a context limit: documents of
+    that length, documents and tokens in all, those longer, tokens that
+    truncation at the limit keeps and loses, and ``docs_le`` with the share of
+    documents no longer (the quantile)."""
+    asked = histogram.sparkSession.createDataFrame([(x,) for x in sorted(set(limits))], "length bigint")
+    if histogram.isEmpty():
+        asked = asked.where("false")
+    asked = asked.join(histogram, "length", "left_anti").withColumn("n_docs", F.lit(0).cast("long"))
+    histogram = histogram.unionByName(asked)
     h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"))
     h = h.withColumn("block", F.floor(F.col("length") / BLOCK))
     inner = Window.partitionBy("block").orderBy(F.desc("length"))
@@ -80,15 +93,23 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 def quantiles(limits: DataFrame, qs: tuple[float, ...]) -> DataFrame:
     """(q, length): the least length that a share ``q`` of documents does not
-    exceed, read from the suffix sums."""
-    wanted = limits.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    return (
-        wanted.join(limits, F.col("docs_le") >= F.col("q") * F.col("total_docs"))
-        .groupBy("q")
-        .agg(F.min("context_limit").alias("length"))
-    )
+    exceed, read from the suffix sums.  One aggregate for each ``q``: no join."""
+    if not qs:
+        return limits.sparkSession.createDataFrame([], "q double, length bigint")
+    own = F.when(F.col("n_docs") > 0, F.col("context_limit"))
+    least = [F.min(F.when(F.col("docs_le") >= F.lit(float(q)) * F.col("total_docs"), own)) for q in qs]
+    one = limits.agg(F.array(*[F.struct(F.lit(float(q)).alias("q"), x.alias("length")) for q, x in zip(qs, least)]).alias("a"))
+    return one.select(F.inline("a")).where("length IS NOT NULL")
 
 
-def token_counts(docs: DataFrame, **options) -> DataFrame:
+def token_counts(
+    docs: DataFrame, limits: tuple[int, ...] = LIMITS, qs: tuple[float, ...] = QUANTILES, **options
+) -> DataFrame:
+    """``context_limits`` of the corpus (``kind`` 'limit', null ``q``), and one
+    row for each quantile (``kind`` 'quantile'), which repeats the figures of its
+    length."""
     # read twice below: stored, so that texts are encoded once
-    return context_limits(stored(length_histogram(docs, **options), "length-histogram"))
+    answers = stored(context_limits(stored(length_histogram(docs, **options), "length-histogram"), limits), "length-limits")
+    named = quantiles(answers, qs).join(answers, F.col("length") == F.col("context_limit")).drop("length")
+    plain = answers.select(F.lit("limit").alias("kind"), F.lit(None).cast("double").alias("q"), "*")
+    return plain.unionByName(named.select(F.lit("quantile").alias("kind"), "*"))
