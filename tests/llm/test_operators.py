@@ -200,10 +200,33 @@ def test_exact_dedup(docs, empty, real):
     assert sorted(map(tuple, exact_dedup.duplicates(real, capacity=8).collect())) == sorted(want)
 
 
+def test_exact_dedup_compares_bytes_where_keys_collide(docs, real):
+    """Keys of 3 bits: nearly all documents collide with others."""
+    for df in (docs, real):
+        for f in (exact_dedup.duplicates, exact_dedup.drop_duplicates):
+            assert Counter(map(str, f(df, capacity=2, key_bits=3, combine=2000).collect())) == Counter(map(str, f(df).collect()))
+
+
 def test_directory_covers_all_prefixes():
     counts = np.random.default_rng(0).integers(0, 9, 64)
     d = exact_dedup.Directory(counts, 6, 20)
-    assert len(d.slots) == 1 << d.depth and set(d.slots) == set(range(len(d.local)))
+    assert len(d.slots) == 1 << d.depth and set(d.slots.tolist()) == set(range(len(d.local)))
+    # owners hold ranges of keys, of about as many entries each
+    keys = np.arange(64, dtype=np.uint64) << np.uint64(58)
+    owner = d.owners(5)[d.bucket(keys.view(np.int64))]
+    assert (np.diff(owner) >= 0).all() and set(owner.tolist()) == set(range(5))
+    loads = np.bincount(owner, weights=counts)
+    assert loads.max() <= counts.sum() / 5 + 20
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_duplicates, simhash.drop_near_duplicates, suffix_dedup.cut_repeats, toxicity.drop_toxic])
+def test_filters_take_any_column_names(spark, drop):
+    rows = [(i, t, "en", 1.5, i, "x", "y") for i, t in enumerate([ROWS[0][1], ROWS[0][1], None, "", "some other text here"])]
+    names = ["doc_id", "text", "lang", "meta.x", "a`b", "Text", "key"]
+    df = spark.createDataFrame(rows, "a int, b string, c string, d double, e int, f string, g string").toDF(*names)
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1)], "doc_id bigint, quality int, toxic int")
+    out = drop(df, labels) if drop is toxicity.drop_toxic else drop(df)
+    assert out.columns == names and all(r[3] == 1.5 and r[4] == r[0] and r[5] == "x" for r in out.collect())
 
 
 # Toxicity
