@@ -377,30 +377,40 @@ def test_simhash_awkward(docs, empty):
 
 
 def spans_by_brute_force(docs, least):
-    seen, out = set(), []
+    seen, out, texts = {}, [], {}
     for i, text in sorted(docs):
         words, span = text.split(), None
+        if len(words) >= least and texts.setdefault(text, i) != i:
+            out.append((i, 0, len(words), [texts[text]]))
+            continue
         for p in range(len(words) - least + 1):
             k = tuple(words[p : p + least])
             if k not in seen:
-                seen.add(k)
+                seen[k] = i
                 continue
-            if span and p <= span[1]:
-                span[1] = p + least
+            if span and p <= span[2]:
+                span[2] = p + least
+                span[3] = sorted({*span[3], seen[k]})
             else:
-                span = [p, p + least]
-                out.append((i, span))
-    return sorted((i, s, e) for i, (s, e) in out)
+                span = [i, p, p + least, [seen[k]]]
+                out.append(span)
+    return sorted(map(tuple, out))
 
 
-def test_column_wise_construction():
+def spans_of(rows):
+    return sorted((r.doc_id, r.start_word, r.end_word, r.first_ids) for r in rows)
+
+
+@pytest.mark.parametrize("block", [colbwt.BLOCK, 3, 1])
+def test_column_wise_construction(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(colbwt.Column.read, "__defaults__", (block,))
     r = np.random.default_rng(1)
     for spool in (4, 1 << 20):
         for _ in range(40):
             strings = [r.integers(1, 4, int(r.integers(0, 12))) for _ in range(int(r.integers(1, 8)))]
             key = lambda s: [(x, 0) for x in strings[s[0]][len(strings[s[0]]) - s[1] :].tolist()] + [(0, s[0])]
             want = sorted(((i, j) for i, s in enumerate(strings) for j in range(len(s) + 1)), key=key)
-            columns = colbwt.build(strings, 4, "file:///tmp/threadloom-test-columns", spool)
+            columns = colbwt.build(strings, 4, tmp_path.as_uri(), spool)
             bwt, lcp, suffix = (np.concatenate(list(c.read())).astype(np.int64) for c in columns)
             assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in suffix] == want
             assert bwt.tolist() == [int(strings[i][-j - 1]) if j < len(strings[i]) else 0 for i, j in want]
@@ -412,19 +422,55 @@ def test_column_wise_construction():
                 c.drop()
 
 
-@pytest.mark.parametrize(("least", "gram", "chunk"), [(50, 16, 100_000), (12, 4, 50)])
-def test_suffix_dedup_equals_brute_force(real, least, gram, chunk):
-    got = suffix_dedup.repeated_spans(real, least=least, gram=gram, chunk=chunk).collect()
-    want = spans_by_brute_force([(r.doc_id, r.text) for r in real.collect() if r.text is not None], least)
-    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == want
+@pytest.mark.parametrize("size", [254, 255, 300])
+def test_common_prefixes_beyond_a_byte(size):
+    r = np.random.default_rng(size)
+    one = r.integers(1, 50, size)
+    groups = [g for g in colbwt.repeats([np.append(one, 51), np.append(one, 52)], 53, size)]
+    assert sorted(int(x) & 0xFFFFFFFF for s, _ in groups for x in s) == [size + 1, size + 1]
+
+
+@pytest.mark.parametrize(("least", "gram", "chunk", "hot"), [(50, 16, 1_000_000, 1 << 16), (12, 4, 50, 1 << 16), (50, 16, 5_000, 1), (12, 4, 50, 3)])
+def test_suffix_dedup_equals_brute_force(real, least, gram, chunk, hot):
+    got = suffix_dedup.repeated_spans(real, least=least, gram=gram, chunk=chunk, hot=hot).collect()
+    assert spans_of(got) == spans_by_brute_force([(r.doc_id, r.text) for r in real.collect() if r.text is not None], least)
 
 
 def test_suffix_dedup_periodic(spark):
     texts = ["a b c " * 50, "x " * 200, "x " * 70 + "y", "a b c a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for least, gram in ((12, 4), (50, 16)):
-        got = suffix_dedup.repeated_spans(df, least=least, gram=gram).collect()
-        assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == spans_by_brute_force(list(enumerate(texts)), least)
+    for least, gram, hot in ((12, 4, 1 << 16), (50, 16, 1 << 16), (12, 4, 1)):
+        got = suffix_dedup.repeated_spans(df, least=least, gram=gram, hot=hot).collect()
+        assert spans_of(got) == spans_by_brute_force(list(enumerate(texts)), least)
+
+
+def test_suffix_dedup_takes_any_least(spark):
+    shared = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(1, "a " + shared + " b"), (2, "c " + shared + " d")], "doc_id bigint, text string")
+    for least in (50, 255, 256, 300, 400):
+        assert spans_of(suffix_dedup.repeated_spans(df, least=least).collect()) == [(2, 1, 401, [1])]
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_spans(df, least=10, gram=11)
+
+
+def test_suffix_dedup_goes_through_files(spark, real, monkeypatch):
+    """With the query's own settings, a collection of a third of the usual size."""
+    opened = []
+    keep = colbwt.Column.append
+
+    def append(self, x):
+        keep(self, x)
+        opened.append(self.path)
+
+    monkeypatch.setattr(colbwt.Column, "append", append)
+    r = np.random.default_rng(3)
+    strings = [r.integers(1, 20_000, 70) for _ in range(4000)]
+    for k, x in enumerate(strings[::2]):
+        x[:60], x[60] = strings[0][:60], k + 1
+    from threadloom.llm.common import shared_dir
+
+    found = sum(len(s) for s, _ in colbwt.repeats(strings, 20_001, suffix_dedup.LEAST, shared_dir(spark) + "/threadloom/columns"))
+    assert found == 2000 * 11 and 70 * 4000 < suffix_dedup.CHUNK_SYMBOLS and sum(p is not None for p in opened) > 70
 
 
 def test_suffix_dedup_awkward(docs, empty):
@@ -439,6 +485,8 @@ def test_suffix_dedup_awkward(docs, empty):
     assert suffix_dedup.cut_repeats(copies).count() == 1
     # the text repeats itself from word 5,003 on
     assert sorted((r.start_word, r.end_word) for r in suffix_dedup.repeated_spans(copies).collect()) == [(0, 60_000), (5_003, 60_000)]
+    whole = [(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_spans(docs).collect()]
+    assert sorted(whole) == [(6, 5_003, 60_000), (8, 2, 62)]
 
 
 # Language-model scoring

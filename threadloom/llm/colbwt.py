@@ -5,8 +5,8 @@ Round ``j`` inserts the suffix of length ``j`` of every string that has one: a
 sequential pass ranks the symbols before the places of the last insertions,
 which gives the new places, and a second one writes the new files with the
 insertions in them.  Beside each symbol of the transform lie the common prefix
-with the suffix before (cut off at 255) and the suffix itself, as string number
-and length.  Common prefixes are updated in the ranking pass: two suffixes that
+with the suffix before and the suffix itself, as string number and length.  Common
+prefixes have one byte if no string has more than 254 symbols, else four.  Common prefixes are updated in the ranking pass: two suffixes that
 begin alike share one symbol more than the stretch between the places of their
 rests.
 
@@ -23,7 +23,7 @@ import numpy as np
 
 #: Symbols that a pass holds at once.
 BLOCK = 1 << 17
-SPOOL = 64 << 20
+SPOOL = 1 << 20
 END = 0
 
 
@@ -96,9 +96,11 @@ def _rank(bwt: Column, lcp: Column, at: np.ndarray, start: np.ndarray, n_symbols
     """The ranking pass.  ``at`` are sorted places whose symbol moves to the
     front.  Returns the new place of each, and (places, common prefixes) of the
     suffixes that come in and of those just behind them."""
+    kind = lcp.dtype
+    top = np.iinfo(kind).max  # more than any common prefix
     place = np.empty(len(at), np.int64)
     seen = np.zeros(n_symbols, np.int64)
-    since = np.full(n_symbols, 255, np.uint8)  # least common prefix since the last of the symbol
+    since = np.full(n_symbols, top, kind)  # least common prefix since the last of the symbol
     behind = np.zeros(n_symbols, bool)  # the next one of the symbol stands behind an insertion
     places, values = [], []
     base = done = 0
@@ -144,17 +146,17 @@ def _rank(bwt: Column, lcp: Column, at: np.ndarray, start: np.ndarray, n_symbols
             by = np.argsort(a, kind="stable")
             pairs = np.empty(2 * len(a), np.int64)
             pairs[0::2], pairs[1::2] = a[by], b[by]
-            padded = np.append(common, np.uint8(255))
+            padded = np.append(common, kind.type(top))
             least = np.empty(len(a), np.int64)
             least[by] = np.minimum.reduceat(padded, pairs)[0::2]
             value[~head] = 1 + least
         places.append(start[sym[w]] + rank[w])
-        values.append(np.minimum(value, 255))
+        values.append(value)
         # what the next block needs
         up = np.minimum.accumulate(common[::-1])[::-1]
         since = np.minimum(since, up[0])
         last = order[heads + sizes - 1]
-        since[symbols] = np.where(last + 1 < n, up[np.minimum(last + 1, n - 1)], 255)
+        since[symbols] = np.where(last + 1 < n, up[np.minimum(last + 1, n - 1)], top)
         seen[symbols] += sizes
         base += n
         done = end
@@ -168,8 +170,9 @@ def build(
     ``n_symbols`` - 1; a suffix is string number << 32 | length.  End marks are
     symbol 0, each distinct and less than all others, in the strings' order."""
     m = len(strings)
-    kinds = (np.uint16 if n_symbols <= 1 << 16 else np.uint32, np.uint8, np.int64)
     sizes = np.fromiter(map(len, strings), np.int64, m)
+    prefix = np.uint8 if not m or sizes.max() < 255 else np.uint32
+    kinds = (np.uint16 if n_symbols <= 1 << 16 else np.uint32, prefix, np.int64)
     flat = np.concatenate([np.empty(0, np.int64), *strings]).astype(np.int64)
     ends = np.cumsum(sizes)
 
@@ -215,7 +218,7 @@ def build(
                 c.append(x)
             base, done, shift, set_ = base + n, end, shift + end - done, upto
         if done < len(place):
-            common = np.zeros(len(place) - done, np.uint8)
+            common = np.zeros(len(place) - done, prefix)
             common[changed[set_:] - base - shift] = values[set_:]
             for c, x in zip(after, (new[done:], common, suffix[done:])):
                 c.append(x)
@@ -232,7 +235,7 @@ def repeats(
     strings: list[np.ndarray], n_symbols: int, least: int, folder: str | None = None, spool: int = SPOOL
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(suffixes, group numbers): the suffixes that share their first ``least``
-    (at most 255) symbols with another, in sorted order; a group may go on in
+    symbols with another, in sorted order; a group may go on in
     the next block."""
     columns = build(strings, n_symbols, folder, spool)
     group, before = 0, None

@@ -102,6 +102,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def registered(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted at the end with the stored tables."""
+    if (spark, path) not in _made:
+        _made.append((spark, path))
+    return path
+
+
 def fits(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows: the check before a broadcast."""
     return df.limit(most + 1).count() <= most

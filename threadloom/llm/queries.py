@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, hmm, packing, simhash, spm, suffix_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
@@ -41,7 +42,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.withColumn("first_ids", F.array_join(F.col("first_ids").cast("array<string>"), ","))
 
 
 def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +61,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle(),
 }
