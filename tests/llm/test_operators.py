@@ -257,6 +257,33 @@ def test_toxicity_awkward(spark, docs, empty):
     assert len(got) == len(ROWS) and all(r.score is None and not r.toxic for r in got if r.doc_id in (3, 4, 5, 9))
 
 
+def test_toxicity_convolution_is_the_plain_one():
+    r = np.random.default_rng(5)
+    table = toxicity.WordTable()
+    docs = [table.ids([f"w{x}" for x in r.integers(0, 30, n)]) for n in (1, 2, 5, 40)]
+    m = toxicity.Model.fresh(3)
+    m.bias = [r.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    want = []
+    for d in docs:
+        v = [sum(m.emb[f] for f in table.features(np.array([w]))[0]) for w in d]
+        v += [sum(m.emb[f] for f in table.features(np.array([0]))[0])] * (max(toxicity.WIDTHS) - 1)  # padding
+        hidden = []
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(v[p + j] @ m.conv[k][j][:, f]) for j in range(w)) for p in range(len(d)))
+                hidden.append(max(0.0, top + float(m.bias[k][f])))
+        want.append(1 / (1 + np.exp(-(np.array(hidden) @ m.out + m.out_bias))))
+    assert toxicity.score_ids(m, docs, table) == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 3, f"text {i}", "en" if i % 2 else None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 0, 1)], "doc_id bigint, quality int, toxic int")
+    got = [toxicity.training_sample(docs.repartition(n), labels, sample_rows=2) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 # SimHash
 
 
@@ -506,6 +533,29 @@ def test_hmm_forward_is_exact():
         assert hmm.log_likelihoods(model, [seq], 16)[0] == pytest.approx(total, rel=1e-9)
 
 
+def test_hmm_counts_equal_the_naive_recursion():
+    r = np.random.default_rng(9)
+    model = hmm.HMM.initial(r.random(12), 3)
+    seqs = [r.integers(0, 12, n).astype(np.uint32) for n in (1, 7, 8, 9, 40, 3, 16)]
+    start, move, emit, like = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 12)), 0.0
+    for q in seqs:
+        a, b = np.zeros((len(q), 3)), np.ones((len(q), 3))
+        for t, x in enumerate(q):
+            a[t] = (model.start if t == 0 else a[t - 1] @ model.move) * model.emit[:, x]
+        for t in range(len(q) - 2, -1, -1):
+            b[t] = model.move @ (model.emit[:, q[t + 1]] * b[t + 1])
+        p = a[-1].sum()
+        like += np.log(p)
+        start += a[0] * b[0] / p
+        for t, x in enumerate(q):
+            emit[:, x] += a[t] * b[t] / p
+            if t:
+                move += np.outer(a[t - 1], model.emit[:, x] * b[t]) * model.move / p
+    for size in (4, 8, 100):
+        for got, want in zip(hmm.expected_counts(model, seqs, size), (start, move, emit, like)):
+            assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_hmm_training_raises_likelihood(real):
     one, seqs = hmm.train(real, rounds=1)
     three, _ = hmm.train(real, rounds=4)

@@ -11,18 +11,18 @@ Texts become symbol sequences once, in the shared folder.  Each Baum-Welch round
 runs forward-backward over all of them: every task sums its expected counts,
 which are added across tasks as integers (2^-16 of a count), so the model doesn't
 depend on the order of adding; nor do scores, as shares are added as integers too.
-Training sequences are stretches of at most ``SEGMENT`` words, together the
-whole corpus.
 
-Scores are exact over whole documents.  The scaled forward recursion is a
-product of one matrix per word, so stretches of a document are multiplied out
-side by side and then chained: a very long document takes no longer loop than
-others.
+Training and scoring are exact over whole documents.  A longer document than
+``SEGMENT`` words is worked on in stretches side by side: each is first multiplied
+out to one matrix, those are chained from either end, and so every stretch begins
+with the forward and ends with the backward vector of its place.  A very long
+document takes no longer loop over words than others.
 
 Defined cases: a null text has null scores; one that is empty or without a word
 has 0 words and log-likelihood 0, and no perplexity; null ids are kept as they
-are; repeated rows are scored alike and each counts in training; an empty table
-gives an empty result; other columns are not read.
+are; repeated rows are scored alike and each counts in training; words of equal
+count (ties) are all in the vocabulary or none is; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import pick, stored, texts
 
 STATES = 8
 #: Symbols of their own, at least, and how many for the root of the corpus's words.
@@ -49,9 +49,9 @@ VOCABULARY_ROOT = 4
 #: Words of the vocabulary for each class of the words outside it.
 CLASS_WORDS = 125
 ROUNDS = 4
-SEGMENT = 128
+SEGMENT = 512
 #: Words that a task works on at a time.
-BATCH_WORDS = 250_000
+BATCH_WORDS = 1_000_000
 _UNIT = 1 << 16
 #: Logarithms of shares are added in units of 2^-32.
 _LOG_UNIT = 1 << 32
@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     c.clear()
         yield out()
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint")
+    parts = pick(docs, text=text_col).mapInArrow(run, "word string, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -137,7 +137,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]
     """(row, id, symbols, rare): ``row`` numbers the rows, symbols are little-
     endian uint32 bytes, null for a null text, and ``rare`` are the hashes of the
     words outside the vocabulary.  Must be stored before rows are matched."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = pick(docs, id=id_col, text=text_col)
     kind = chosen.schema["id"].dataType.simpleString()
     known = len(vocabulary)
 
@@ -236,22 +236,78 @@ def _live(length: np.ndarray) -> list[int]:
     return [int(np.searchsorted(-length, -t, side="left")) for t in range(top)]
 
 
+def transfers(model: HMM, grid: np.ndarray, length: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The product of the matrices of each stretch, of sum 1.  The first word of a
+    sequence (of the stretches marked ``lead``) has no move before it."""
+    k, live = len(model.start), _live(length)
+    b = np.ascontiguousarray(model.emit.T)
+    prod = np.broadcast_to(np.eye(k), (len(length), k, k)).copy()
+    for t, n in enumerate(live):
+        p = prod[:n]
+        moved = (p.reshape(-1, k) @ model.move).reshape(n, k, k)
+        if t == 0:
+            moved[lead[:n]] = p[lead[:n]]
+        np.multiply(moved, b[grid[t, :n]][:, None, :], out=p)
+        if t % 8 == 7 or t == len(live) - 1:
+            p /= p.sum(axis=(1, 2))[:, None, None]
+    return prod
+
+
+def borders(model: HMM, grid: np.ndarray, length: np.ndarray, owner: np.ndarray, backward: bool = False):
+    """Whether each stretch leads its sequence, the state's distribution before it
+    (given the words up to there), and if ``backward`` the backward vector at its
+    end, scaled so that its product with the forward vector there is 1."""
+    k = len(model.start)
+    enter = np.broadcast_to(model.start, (len(owner), k)).copy()
+    leave = np.ones((len(owner), k))
+    # a stable sort keeps the order of columns within a sequence, whose last
+    # stretch is its shortest
+    order = np.argsort(owner, kind="stable")
+    first = np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1]))
+    count = np.diff(np.append(first, len(owner)))
+    lead = np.zeros(len(owner), bool)
+    lead[order[first]] = True
+    several = count > 1
+    first, count = first[several], count[several]
+    if not len(first):
+        return lead, enter, leave
+    within = np.zeros(len(owner), bool)
+    within[order] = np.repeat(several, np.diff(np.append(np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1])), len(owner))))
+    at = np.flatnonzero(within)
+    prod = np.zeros((len(owner), k, k))
+    prod[at] = transfers(model, grid[:, at], length[at], lead[at])
+    for j in range(int(count.max()) - 1):
+        todo = first[count > j + 1] + j
+        w = np.einsum("nk,nkl->nl", enter[order[todo]], prod[order[todo]])
+        enter[order[todo + 1]] = w / w.sum(axis=1, keepdims=True)
+    for j in range(int(count.max()) - 2, -1, -1) if backward else ():
+        todo = first[count > j + 1] + j
+        w = np.einsum("nkl,nl->nk", prod[order[todo + 1]], leave[order[todo + 1]])
+        leave[order[todo]] = w / (enter[order[todo + 1]] * w).sum(axis=1, keepdims=True)
+    return lead, enter, leave
+
+
 def expected_counts(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT):
     """Expected start, transition and emission counts, and the log-likelihood
-    of the stretches, by the scaled forward-backward recursion."""
+    of the sequences, by the scaled forward-backward recursion."""
     k, m = model.emit.shape
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
-    grid, length, _ = segments(seqs, size)
+    grid, length, owner = segments(seqs, size)
     live = _live(length)
     if not live:
         return start, move, emit, 0.0
+    lead, enter, leave = borders(model, grid, length, owner, backward=True)
+    later = np.flatnonzero(~lead)
     a = model.move.astype(np.float32)
     b = np.ascontiguousarray(model.emit.T.astype(np.float32))
+    begin = enter.copy()
+    begin[later] = enter[later] @ model.move
+    enter, leave = enter.astype(np.float32), leave.astype(np.float32)
     alpha, scale, like = [], [], 0.0
     for t, n in enumerate(live):
-        f = model.start.astype(np.float32) if t == 0 else alpha[-1][:n] @ a
+        f = begin.astype(np.float32) if t == 0 else alpha[-1][:n] @ a
         f = f * b[grid[t, :n]]
-        c = np.maximum(f.sum(axis=1, keepdims=True), 1e-30)
+        c = f.sum(axis=1, keepdims=True)
         f /= c
         alpha.append(f)
         scale.append(c)
@@ -261,17 +317,18 @@ def expected_counts(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT):
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         if len(beta) < n:  # stretches that end here
-            beta = np.concatenate([beta, np.ones((n - len(beta), k), np.float32)])
+            beta = np.concatenate([beta, leave[len(beta) : n]])
         gamma = alpha[t] * beta
         gamma /= gamma.sum(axis=1, keepdims=True)
         gammas.append(gamma)
         symbols.append(grid[t, :n])
+        x = b[grid[t, :n]] * beta / scale[t]
         if t:
-            x = b[grid[t, :n]] * beta / scale[t]
             move += (alpha[t - 1][:n].T @ x) * a
             beta = x @ a.T
         else:
-            start += gamma.sum(axis=0)
+            move += (enter[later].T @ x[later]) * a
+            start += gamma[lead].sum(axis=0)
     g, s = np.concatenate(gammas), np.concatenate(symbols)
     for i in range(k):
         emit[i] += np.bincount(s, weights=g[:, i], minlength=m)
@@ -280,44 +337,21 @@ def expected_counts(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT):
 
 def log_likelihoods(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT) -> np.ndarray:
     """Exact log-likelihood of each whole sequence."""
-    k = len(model.start)
     out = np.zeros(len(seqs))
     grid, length, owner = segments(seqs, size)
     live = _live(length)
     if not live:
         return out
-    # columns keep their order within a sequence through a stable sort, and a
-    # sequence's last stretch is its shortest, so the first of each owner leads
-    by_owner = np.argsort(owner, kind="stable")
-    lead = np.zeros(len(owner), bool)
-    lead[by_owner[np.concatenate([[True], owner[by_owner][1:] != owner[by_owner][:-1]])]] = True
+    lead, f, _ = borders(model, grid, length, owner)
+    f[~lead] = f[~lead] @ model.move
     b = np.ascontiguousarray(model.emit.T)
-    prod = np.broadcast_to(np.eye(k), (len(owner), k, k)).copy()
     logs = np.zeros(len(owner))
     for t, n in enumerate(live):
-        p = prod[:n]
-        moved = (p.reshape(-1, k) @ model.move).reshape(n, k, k)
-        if t == 0:
-            moved[lead[:n]] = p[lead[:n]]
-        np.multiply(moved, b[grid[t, :n]][:, None, :], out=p)
-        if t % 8 == 7 or t == len(live) - 1:
-            c = p.sum(axis=(1, 2))
-            p /= c[:, None, None]
-            logs[:n] += np.log(c)
-    v = np.broadcast_to(model.start, (len(seqs), k)).copy()
-    sorted_owner = owner[by_owner]
-    first = np.searchsorted(sorted_owner, np.arange(len(seqs)), side="left")
-    count = np.searchsorted(sorted_owner, np.arange(len(seqs)), side="right") - first
-    j = 0
-    todo = np.flatnonzero(count > 0)
-    while len(todo):
-        col = by_owner[first[todo] + j]
-        w = np.einsum("nk,nkl->nl", v[todo], prod[col])
-        c = w.sum(axis=1)
-        v[todo] = w / c[:, None]
-        out[todo] += np.log(c) + logs[col]
-        j += 1
-        todo = todo[count[todo] > j]
+        f = (f if t == 0 else f[:n] @ model.move) * b[grid[t, :n]]
+        c = f.sum(axis=1)
+        f /= c[:, None]
+        logs[:n] += np.log(c)
+    np.add.at(out, owner, logs)
     return out
 
 
@@ -399,7 +433,7 @@ def score(seqs: DataFrame, model: HMM) -> DataFrame:
                 n += [None if x is None else len(x) for x in part]
                 like += [None if x is None else float(y) for x, y in zip(part, got)]
             like = [None if y is None else y + t for y, t in zip(like, b.column("tail").to_pylist())]
-            ppl = [float(np.exp(min(-y / x, 700))) if x else None for x, y in zip(n, like)]
+            ppl = [float(np.exp(-y / x)) if x else None for x, y in zip(n, like)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n, pa.int64()), pa.array(like, pa.float64()), pa.array(ppl, pa.float64())],
                 ["id", "n_words", "log_likelihood", "perplexity"],
