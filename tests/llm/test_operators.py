@@ -626,3 +626,12 @@ def test_url_filter(spark):
     got = [r.rejected for r in url_filter.filter_urls(df).orderBy("page_id").collect()]
     assert got == [True, True, False, True, False, False, False, False, True]
     assert url_filter.filter_urls(df.where("false")).collect() == []
+    assert not any(r.rejected for r in url_filter.filter_urls(df, terms=[]).collect())
+
+
+def test_url_filter_weighs_long_urls_and_long_lists(spark):
+    terms = [(f"term{i}", 1.0 if i % 2 else 3.0) for i in range(20_000)] + [("half", 0.5), ("half", 0.25), ("odd-one", 1.5)]
+    urls = ["http://x/" + "a/" * 100_000 + "term4", "http://x/term3", "http://x/term3/half/half", "http://x/half/odd-one", "http://x/term3x/term30001"]
+    df = spark.createDataFrame(list(enumerate(urls)), "`page_id` bigint, url string").selectExpr("*", "1 as `meta.x`")
+    got = [(r.strict_hits, r.soft_hits, r.rejected) for r in url_filter.filter_urls(df, terms=terms).orderBy("page_id").collect()]
+    assert got == [(1, 0, True), (0, 1, False), (0, 2, False), (0, 2, True), (0, 0, False)]

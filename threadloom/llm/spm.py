@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, texts
+from .common import TOKENIZERS, pick, texts
 
 SPACE = "▁"
 #: Characters of text whose units are collected before they are matched.
@@ -412,7 +412,7 @@ def encode(
     """(id, token_ids, n_tokens) of every row, in one pass with no shuffle.
     ``check`` adds ``round_trip``: whether decoding the ids gives the text."""
     path = os.path.join(folder, model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = pick(docs, id=id_col).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path)
@@ -442,7 +442,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {kind}, token_ids array<int>, n_tokens bigint" + (", round_trip boolean" if check else "")
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = pick(docs, id=id_col, text=text_col)
     return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

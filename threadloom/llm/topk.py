@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import pick, stored, texts
 
 K = 10
 K1, B = 1.2, 0.75
@@ -48,7 +48,7 @@ def words(text: str | None) -> list[str]:
 def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, terms, counts): per document the query terms in it, as
     little-endian int32 bytes."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = pick(docs, doc_id=id_col, text=text_col)
     chosen = chosen.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
@@ -226,9 +226,9 @@ def search(
 ) -> DataFrame:
     """(query id, rank, doc_id, score) for every row of ``queries``."""
     spark = docs.sparkSession
-    kind = queries.schema[query_id].dataType.simpleString()
+    kind = pick(queries, q=query_id).schema["q"].dataType.simpleString()
     order = Window.orderBy("qid", "text")
-    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_text).alias("text"))
+    asked = pick(queries, qid=query_id, text=query_text)
     # numbering sorts the queries, not the documents
     asked = stored(asked.withColumn("q", F.row_number().over(order) - 1), "topk-queries")
     n = asked.count()
@@ -239,7 +239,7 @@ def search(
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:
-        id_kind = docs.schema[id_col].dataType.simpleString()
+        id_kind = pick(docs, q=id_col).schema["q"].dataType.simpleString()
         out = spark.createDataFrame([], f"q bigint, doc_id {id_kind}, score bigint")
     by = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
     merged = out.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)

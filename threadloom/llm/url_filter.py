@@ -1,111 +1,116 @@
 """URL filter by a weighted vocabulary.
 
-Aho-Corasick finds every strict and soft term in the lower-cased URL.  A hit
-counts only between boundaries (neither neighbour is a letter or digit).  One
-strict term, or ``soft_limit`` distinct soft terms, reject the URL.
-
-Defined cases: a null URL has no hits and is kept; an empty one too; repeated
-hits of one soft term count once; rows are judged one by one, so repeated rows
-each get a verdict; other columns are not read.
+The vocabulary is a table of terms and weights: ``url_terms.tsv`` beside this file,
+or any other list.  A term whose weight reaches ``limit`` is strict and rejects
+alone; the others are soft, and a URL goes if the weights of its distinct soft
+terms reach ``limit`` together.  Aho-Corasick finds every term in the lower-cased
+URL in one pass, however many terms there are.  A hit counts only between
+boundaries (neither neighbour is a letter or digit).
+
+Defined cases: a null URL has no hits and is kept; an empty one too; a very long one
+is searched whole; repeated hits of one soft term count once; of a term that is
+listed twice the larger weight counts (a tie is no matter); rows are judged one by
+one, so repeated rows each get a verdict; an empty table gives an empty one, an empty
+vocabulary rejects nothing; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Terms that reject alone.
-STRICT = (
-    "porn", "xxx", "sex", "casino", "viagra", "cialis", "pills", "escort", "gambling",
-    "warez", "keygen", "malware", "phishing", "jackpot", "spam",
-)
-#: Terms of which several distinct ones reject.
-SOFT = (
-    "bet", "bets", "free", "win", "winner", "cheap", "ads", "track", "click", "bonus",
-    "adult", "dating", "hot", "loan", "loans", "crack", "torrent", "prize", "poker",
-    "slots", "farm", "offer", "deal", "promo", "buy",
-)
-SOFT_LIMIT = 2
-
-
-def automaton(strict: Sequence[str], soft: Sequence[str]):
-    """The automaton over both vocabularies; a term in both is strict."""
+
+from .common import pick
+
+Terms = Iterable[tuple[str, float]]
+TERMS_FILE = Path(__file__).with_name("url_terms.tsv")
+LIMIT = 2.0
+
+
+def load_terms(path: str | Path = TERMS_FILE) -> list[tuple[str, float]]:
+    """(term, weight) lines of a file with a heading."""
+    lines = Path(path).read_text(encoding="utf-8").splitlines()[1:]
+    return [(t.lower(), float(w)) for t, w in (line.split("\t") for line in lines if line.strip())]
+
+
+TERMS = load_terms()
+
+
+def automaton(terms: Terms):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for term in soft:
-        a.add_word(term.lower(), (term.lower(), False))
-    for term in strict:
-        a.add_word(term.lower(), (term.lower(), True))
+    weights: dict[str, float] = {}
+    for term, weight in terms:
+        if term:
+            weights[term.lower()] = max(weight, weights.get(term.lower(), weight))
+    for term, weight in weights.items():
+        a.add_word(term, (term, weight))
     if len(a):
         a.make_automaton()
     return a
 
 
-def hits(a, url: str | None) -> tuple[set[str], set[str]]:
-    """Distinct strict and soft terms of ``url`` between boundaries."""
-    strict: set[str] = set()
-    soft: set[str] = set()
+def hits(a, url: str | None) -> dict[str, float]:
+    """Distinct terms of ``url`` between boundaries, with their weights."""
+    found: dict[str, float] = {}
     if not url or not len(a):
-        return strict, soft
+        return found
     low = url.lower()
     n = len(low)
-    for end, (term, is_strict) in a.iter(low):
+    for end, (term, weight) in a.iter(low):
         start = end - len(term) + 1
         if (start and low[start - 1].isalnum()) or (end + 1 < n and low[end + 1].isalnum()):
             continue
-        (strict if is_strict else soft).add(term)
-    return strict, soft
+        found[term] = weight
+    return found
 
 
 def filter_urls(
-    pages: DataFrame,
-    url_col: str = "url",
-    id_col: str = "page_id",
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
-    soft_limit: int = SOFT_LIMIT,
+    pages: DataFrame, url_col: str = "url", id_col: str = "page_id", terms: Terms = TERMS, limit: float = LIMIT
 ) -> DataFrame:
     """(id, url, strict_hits, soft_hits, rejected) of every row.  One pass with
-    no shuffle, and the scan reads the two columns only."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    strict, soft = tuple(strict), tuple(soft)
+    no shuffle, and the scan reads the two columns only.  The terms go to the tasks
+    with the function, so they have to fit in memory, as an automaton must."""
+    chosen = pick(pages, id=id_col, url=url_col)
+    kind = chosen.schema["id"].dataType.simpleString()
+    terms = tuple(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(strict, soft)
+        a = automaton(terms)
         for b in batches:
-            found = [hits(a, u) for u in b.column("url").to_pylist()]
-            n_strict = [len(x) for x, _ in found]
-            n_soft = [len(y) for _, y in found]
+            strict, soft, gone = [], [], []
+            for u in b.column("url").to_pylist():
+                found = hits(a, u).values()
+                low = [w for w in found if w < limit]
+                strict.append(len(found) - len(low))
+                soft.append(len(low))
+                gone.append(strict[-1] > 0 or (bool(low) and sum(low) >= limit))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"), b.column("url"),
-                    pa.array(n_strict, pa.int64()), pa.array(n_soft, pa.int64()),
-                    pa.array([x > 0 or y >= soft_limit for x, y in zip(n_strict, n_soft)], pa.bool_()),
-                ],
+                [b.column("id"), b.column("url"), pa.array(strict, pa.int64()), pa.array(soft, pa.int64()), pa.array(gone, pa.bool_())],
                 ["id", "url", "strict_hits", "soft_hits", "rejected"],
-            )
+            )
 
-    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(
-        run, f"id {kind}, url string, strict_hits bigint, soft_hits bigint, rejected boolean"
-    )
+    out = chosen.mapInArrow(run, f"id {kind}, url string, strict_hits bigint, soft_hits bigint, rejected boolean")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
-def oracle(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, limit: int = SOFT_LIMIT) -> str:
-    rows = ", ".join(f"('{t}', {k})" for k, terms in ((1, strict), (0, soft)) for t in terms)
+def oracle(terms: Terms = TERMS, limit: float = LIMIT) -> str:
+    rows = ", ".join(f"('{t}', {w})" for t, w in terms)
     return f"""
-        WITH terms(term, strict) AS (VALUES {rows}),
+        WITH terms(term, weight) AS (VALUES {rows}),
+        urls AS (
+            SELECT DISTINCT url, lower(url) AS low FROM pages WHERE url IS NOT NULL),
         found AS (
-            SELECT p.page_id, sum(strict) AS strict_hits, sum(1 - strict) AS soft_hits
-            FROM pages p JOIN terms t
-              ON regexp_matches(lower(p.url), '(^|[^\\p{{L}}\\p{{N}}])' || t.term || '([^\\p{{L}}\\p{{N}}]|$)')
-            GROUP BY p.page_id)
+            SELECT u.url, count(*) FILTER (weight >= {limit}) AS strict_hits, count(*) FILTER (weight < {limit}) AS soft_hits,
+                   sum(weight) FILTER (weight < {limit}) AS soft_weight
+            FROM urls u JOIN terms t ON contains(u.low, t.term)
+             AND regexp_matches(u.low, '(^|[^\\p{{L}}\\p{{N}}])' || t.term || '([^\\p{{L}}\\p{{N}}]|$)')
+            GROUP BY u.url)
         SELECT p.page_id, p.url,
                CAST(coalesce(strict_hits, 0) AS BIGINT) AS strict_hits,
                CAST(coalesce(soft_hits, 0) AS BIGINT) AS soft_hits,
-               coalesce(strict_hits, 0) > 0 OR coalesce(soft_hits, 0) >= {limit} AS rejected
-        FROM pages p LEFT JOIN found USING (page_id)"""
+               coalesce(strict_hits, 0) > 0 OR coalesce(soft_weight, 0) >= {limit} AS rejected
+        FROM pages p LEFT JOIN found USING (url)"""
