@@ -52,6 +52,8 @@ LEAST = 50
 GRAM = 16
 #: Symbols that are sorted together; a single owner's strings are never parted.
 CHUNK_SYMBOLS = 1_000_000
+#: Distinct words of those; so many have numbers of two bytes, which sort faster.
+CHUNK_WORDS = 60_000
 #: Texts of an owner beyond which its strings don't go to one task.
 HOT_OWNER = 1 << 16
 #: Rows up to which a join with the documents is a broadcast.
@@ -371,7 +373,7 @@ def _repeats_of_owners(strings: DataFrame, least: int, chunk: int) -> DataFrame:
                         picked.append(k)
                         symbols.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in x), np.int64, len(x)))
                         count += len(x)
-                if count >= chunk or e == len(heads):
+                if count >= chunk or len(number) >= CHUNK_WORDS or e == len(heads):
                     found = (np.zeros(0, np.int64),) * 3
                     if picked:
                         at = np.array(picked)
