@@ -10,32 +10,40 @@ HARNESSES = (
     "grok", "hermes", "amp", "antigravity", "simple", "cowork", "claude_chat",
 )
 
-ALIASES = {h: h for h in HARNESSES} | {
-    "claude": "claude_code", "claude-code": "claude_code", "claudecode": "claude_code", "cc": "claude_code",
-    "claude-chat": "claude_chat", "cursor-desktop": "cursor_desktop", "open-code": "opencode", "open_code": "opencode",
+_MORE = {
+    "claude_code": "claude claude-code claudecode", "claude_chat": "claude-chat claude_web claude-web", "opencode": "open_code open-code",
+    "cursor": "cursor_cli cursor-cli cursorcli", "cursor_desktop": "cursor-desktop cursordesktop cursor_ide cursor-ide",
+    "grok": "grok_cli grok-cli grokcli grok_build grok-build", "hermes": "hermes_agent hermes-agent hermesagent", "amp": "ampcode amp_code amp-code",
+    "antigravity": "agy antigravity_cli antigravity-cli anti-gravity", "simple": "simple_json simple-json",
+    "cowork": "claude_cowork claude-cowork claude_desktop claude-desktop",
 }
+ALIASES = {h: h for h in HARNESSES} | {a: h for h, more in _MORE.items() for a in more.split()}
+HARNESS_ALIASES = ALIASES
 
-#: (format, native tool, canonical tool); other names pass through.
-TOOLS = [
-    *[("codex", a, b) for a, b in (("exec_command", "Bash"), ("shell", "Bash"), ("apply_patch", "ApplyPatch"), ("web_search", "WebSearch"))],
-    *[("opencode", a, b) for a, b in (("bash", "Bash"), ("edit", "Edit"), ("write", "Write"), ("read", "Read"), ("glob", "Glob"), ("grep", "Grep"), ("list", "LS"), ("todowrite", "TodoWrite"), ("todoread", "TodoRead"), ("webfetch", "WebFetch"), ("task", "Task"), ("question", "Question"))],
-    *[(h, a, b) for h in ("pi", "campfire") for a, b in (("bash", "Bash"), ("read", "Read"), ("write", "Write"), ("edit", "Edit"), ("grep", "Grep"), ("find", "Glob"), ("ls", "LS"))],
-    *[("cursor", a, b) for a, b in (("Shell", "Bash"), ("StrReplace", "Edit"))],
-    *[("cursor_desktop", a, b) for a, b in (("run_terminal_command_v2", "Bash"), ("read_file_v2", "Read"))],
-    *[("grok", a, b) for a, b in (("Shell", "Bash"), ("StrReplace", "Edit"))],
-    *[("hermes", a, b) for a, b in (("read_file", "Read"), ("write_file", "Write"), ("patch", "Edit"), ("terminal", "Bash"))],
-    *[("amp", a, b) for a, b in (("shell_command", "Bash"), ("edit_file", "Edit"), ("create_file", "Write"), ("glob", "Glob"), ("todo_write", "TodoWrite"), ("todo_read", "TodoRead"), ("read_web_page", "WebFetch"))],
-    *[("antigravity", a, b) for a, b in (("run_command", "Bash"), ("view_file", "Read"), ("write_to_file", "Write"), ("replace_file_content", "Edit"))],
-    *[("claude_chat", a, b) for b, xs in (("Bash", ("bash", "bash_tool", "shell", "shell_command", "run_terminal_cmd")), ("Read", ("read_file", "view")), ("Write", ("create_file", "write_file")), ("Edit", ("edit_file", "str_replace"))) for a in xs],
-]
-
-STOPS = [
-    *[("claude_code", x, x) for x in ("end_turn", "max_tokens", "stop_sequence", "tool_use", "pause_turn", "refusal")],
-    *[("opencode", a, b) for a, b in (("stop", "end_turn"), ("length", "max_tokens"), ("tool-calls", "tool_use"), ("content-filter", "refusal"))],
-    *[(h, a, b) for h in ("pi", "campfire") for a, b in (("stop", "end_turn"), ("length", "max_tokens"), ("toolUse", "tool_use"))],
-    *[("hermes", a, b) for a, b in (("stop", "end_turn"), ("length", "max_tokens"), ("tool_calls", "tool_use"), ("content_filter", "refusal"))],
-    *[("amp", x, x) for x in ("end_turn", "max_tokens", "stop_sequence", "tool_use")],
-]
+
+def _tools() -> list[tuple[str, str, str]]:
+    """(format, native tool, canonical tool) of tools that are renamed whatever
+    their input; other names pass through."""
+    from ..formats import FORMATS, amp, claude_chat, grok, opencode, pi
+
+    maps = {"opencode": opencode.NAMES, "pi": pi.NAMES, "campfire": pi.NAMES, "grok": grok.NAMES, "claude_chat": claude_chat.NAMES}
+    maps["amp"] = {n: c for n, (c, _) in amp.TOOLS.items()}
+    maps["codex"] = {"exec_command": "Bash", "shell": "Bash"}
+    maps["hermes"] = {"read_file": "Read", "write_file": "Write", "terminal": "Bash"}
+    maps |= {h: FORMATS[h].names for h in FORMATS if hasattr(FORMATS[h], "names")}
+    return [(h, n, c) for h, names in maps.items() for n, c in names.items()]
+
+
+def _stops() -> list[tuple[str, str, str]]:
+    """(format, native reason, canonical reason)."""
+    from ..formats import amp, claude_chat, claude_code, grok, hermes, opencode, pi
+
+    maps = {"claude_code": claude_code, "cowork": claude_code, "opencode": opencode, "pi": pi, "campfire": pi, "grok": grok, "hermes": hermes, "amp": amp, "claude_chat": claude_chat}
+    return [(h, n, c) for h, m in maps.items() for n, c in m.STOPS.items()]
+
+
+TOOLS = _tools()
+STOPS = _stops()
 
 
 def dimension(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

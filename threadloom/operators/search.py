@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,9 +82,16 @@ def parse_atoms(pattern: str) -> list[tuple[bool, str, str]]:
     return atoms
 
 
+def subsequence_pattern(atom: str) -> str:
+    """Matches texts that hold the letters in this order.  Each step runs up to the
+    next letter and never goes back, so a long line takes linear time."""
+    steps = [f"[^{re.escape(c) if c != '^' else chr(92) + c}]*+{re.escape(c)}" for c in atom]
+    return "(?s)^" + "".join(steps)
+
+
 def atom_match(text: Column, kind: str, atom: str) -> Column:
     if kind == "fuzzy":
-        return text.rlike("(?s)" + ".*".join(re.escape(c) for c in atom))
+        return text.rlike(subsequence_pattern(atom))
     return {
         "exact": F.instr(text, atom) > 0,
         "prefix": text.startswith(atom),
@@ -104,29 +112,94 @@ def matches(query: Query, text: Column) -> Column:
     return out
 
 
+_LOW = -(1 << 40)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts in a row, an end mark (0) after each; starts of the
+    texts; and 6 where a word begins, else 0."""
+    flat = "\0".join(texts) + "\0"
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    kinds, back = np.unique(codes, return_inverse=True)
+    letter = np.array([chr(c).isalnum() for c in kinds.tolist()], bool)[back]
+    begins = np.append(True, ~letter[:-1])
+    begins[starts] = True
+    return codes, starts, np.where(begins, 6, 0).astype(np.int64)
+
+
+def _tables(texts: list[str], atom: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each letter of the atom the best score of an alignment that puts it at
+    each place.  A gap costs 3 and 1 for each further letter, so the best start of
+    a gap is a running maximum of score + place, kept apart by text."""
+    codes, starts, bonus = _codes(texts)
+    n = len(codes)
+    place = np.arange(n)
+    text_no = np.zeros(n, np.int64)
+    text_no[starts[1:]] = 1
+    apart = np.cumsum(text_no) << 42
+    first = np.zeros(n, bool)
+    first[starts] = True
+    best, out = None, []
+    for c in atom:
+        here = codes == ord(c)
+        if best is None:
+            base = np.zeros(n, np.int64)
+        else:
+            before = np.append(_LOW, best[:-1])
+            before[first] = _LOW
+            reach = np.maximum.accumulate(np.maximum(before, _LOW) + place + apart) - apart
+            gap = np.append(_LOW, reach[:-1]) - 2 - place
+            gap[first] = _LOW
+            base = np.maximum(before + 8, gap)
+        best = np.where(here & (base > _LOW // 2), base + 16 + bonus, _LOW)
+        out.append(best)
+    return out, starts
+
+
+def alignment_scores(texts: list[str], atom: str) -> np.ndarray:
+    """Best score of ``atom`` as a subsequence of each text: 16 a letter, 8 more
+    after the one before, 6 more at the start of a word, a gap costs 3 and then 1
+    a letter (affine gaps, so whole matches beat scattered ones); 0 for none."""
+    if not atom or not texts:
+        return np.zeros(len(texts), np.int64)
+    tables, starts = _tables(texts, atom)
+    return np.maximum(np.maximum.reduceat(tables[-1], starts), 0)
+
+
 def alignment_score(text: str, atom: str) -> int:
-    """Best score of ``atom`` as a subsequence: 16 a letter, 8 more after the
-    one before, 6 more at the start of a word, a gap costs 3 and then 1 a
-    letter (affine gaps, so whole matches beat scattered ones)."""
+    return int(alignment_scores([text], atom)[0])
+
+
+def alignment_places(text: str, atom: str) -> list[int]:
+    """Places of the letters in a best alignment, none if there is none."""
     if not atom:
-        return 0
-    low = -(1 << 30)
-    best = [low] * (len(text) + 1)  # best[j]: atom[:i] aligned, its last letter at j - 1
-    gap_from = 0
-    for i, c in enumerate(atom):
-        now = [low] * (len(text) + 1)
-        run = low
-        for j, t in enumerate(text):
-            if i:
-                run = max(run - 1, best[j - 1] - 3 if j else low)
-            if t == c:
-                bonus = 6 if j == 0 or not text[j - 1].isalnum() else 0
-                base = gap_from if i == 0 else max(best[j] + 8, run)
-                if base > low // 2:
-                    now[j + 1] = base + 16 + bonus
-        best = now
-    top = max(best)
-    return top if top > 0 else 0
+        return []
+    tables, _ = _tables([text], atom)
+    _, _, bonus = _codes([text])
+    if tables[-1].max() <= 0:
+        return []
+    at = int(tables[-1].argmax())
+    out = [at]
+    for i in range(len(atom) - 1, 0, -1):
+        want = tables[i][at] - 16 - bonus[at]
+        before = tables[i - 1][:at]
+        cost = np.where(np.arange(at) == at - 1, -8, at - np.arange(at) + 1)
+        at = int(np.flatnonzero(before - cost == want)[-1])
+        out.append(at)
+    return out[::-1]
+
+
+def merge_spans(places: list[int]) -> list[tuple[int, int]]:
+    """Sorted places as stretches, half open."""
+    out: list[list[int]] = []
+    for p in sorted(set(places)):
+        if out and out[-1][1] == p:
+            out[-1][1] = p + 1
+        else:
+            out.append([p, p + 1])
+    return [(a, b) for a, b in out]
 
 
 def fuzzy_scores(query: Query, text: Column) -> Column:
@@ -136,21 +209,37 @@ def fuzzy_scores(query: Query, text: Column) -> Column:
 
     @F.pandas_udf("bigint")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, int] = {}
         for s in batches:
-            out = []
-            for t in s:
-                if t not in memo:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    hay = t if sensitive else _fold(t)
-                    memo[t] = sum(alignment_score(hay, a) for a in atoms)
-                out.append(memo[t])
-            yield pd.Series(out, dtype="int64")
+            texts, back = np.unique(s.to_numpy(dtype=object).astype(str), return_inverse=True)
+            hay = [str(t) if sensitive else _fold(str(t)) for t in texts]
+            total = sum((alignment_scores(hay, a) for a in atoms), np.zeros(len(hay), np.int64))
+            yield pd.Series(total[back], dtype="int64")
 
     return score(text)
 
 
+def highlights(query: Query, text: Column) -> Column:
+    """Stretches of a hit's letters: the literal occurrence if there is one, else
+    those of the best alignment of each atom.  For hits that are shown only."""
+    sensitive, needle, substring = query.sensitive, query.needle, query.mode == "substring"
+    atoms = [a if sensitive else _fold(a) for neg, kind, a in parse_atoms(query.pattern) if not neg]
+
+    @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
+    def mark(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s:
+            hay = t if sensitive else _fold(t)
+            at = hay.find(needle)
+            if at >= 0:
+                places = list(range(at, at + len(needle)))
+            else:
+                places = [] if substring else [p for a in atoms for p in alignment_places(hay, a)]
+            out.append([{"start": a, "end": b} for a, b in merge_spans(places)])
+        return pd.Series(out)
+
+    return mark(text)
+
+
 def hits(lines: DataFrame, query: Query) -> DataFrame:
     """Matching lines with ``score``, ``hl_start`` and ``hl_end`` (the literal
     occurrence in characters, null if there is none)."""
@@ -198,12 +287,18 @@ def search(lines: DataFrame, sessions: DataFrame, query: Query) -> DataFrame:
         docs = docs.orderBy(F.desc("ts"), "seq")
         return docs.limit(query.limit) if query.limit is not None else docs
     found = hits(lines, query)
-    docs = rank_documents(found, sessions, query.limit)
     by = Window.partitionBy(*KEY).orderBy(F.desc("score"), "line_seq")
-    rows = found.drop("seq").join(docs.select(*KEY, "rank", "best"), KEY)
-    rows = rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= query.hits_per_doc)
-    in_doc = Window.partitionBy(*KEY).orderBy("line_seq")
-    return rows.withColumn("hit_no", F.row_number().over(in_doc).cast("bigint")).drop("_n")
+    top = found.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= query.hits_per_doc)
+    # a document's hits travel with it from here, so lines are matched and scored once
+    fields = [c for c in found.columns if c not in (*KEY, "seq")]
+    docs = top.groupBy(*KEY).agg(F.max("score").alias("best"), F.sort_array(F.collect_list(F.struct("line_seq", F.struct(*fields).alias("h")))).alias("hits"))
+    docs = docs.join(sessions.select(*KEY, "seq", "ts"), KEY)
+    order = [F.desc("best"), F.desc("ts"), F.asc("seq")]
+    if query.limit is not None:
+        docs = docs.orderBy(*order).limit(query.limit)
+    docs = docs.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    rows = docs.select(*KEY, "rank", "best", F.posexplode("hits").alias("n", "x"))
+    return rows.select(*KEY, "rank", "best", (F.col("n") + 1).cast("bigint").alias("hit_no"), "x.h.*")
 
 
 def upsert(index: DataFrame, changes: DataFrame, version: str) -> DataFrame:

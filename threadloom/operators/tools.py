@@ -11,8 +11,9 @@ SHAPES: dict[str, tuple[dict[str, str], dict[str, str]]] = {
     "Write": ({"file_path": "str", "content": "str"}, {}),
     "Edit": ({"file_path": "str", "old_string": "str", "new_string": "str"}, {"replace_all": "bool"}),
     "MultiEdit": ({"file_path": "str", "edits": "array"}, {}),
-    "Bash": ({"command": "str"}, {"description": "str", "timeout": "int", "run_in_background": "bool"}),
+    "Bash": ({"command": "str"}, {"workdir": "str", "timeout_ms": "int", "description": "str", "run_in_background": "bool"}),
 }
+COMMAND: dict[str, str] = {"args": "str"}
 _SCHEMAS = {"str": "STRING", "int": "BIGINT", "bool": "BOOLEAN"}
 
 
@@ -26,25 +27,40 @@ def has_exact_keys(json: Column, required: list[str], optional: list[str] | None
 
 
 def _is(json: Column, key: str, kind: str) -> Column:
+    """Whether the value has the type; counts aren't negative."""
     v = F.try_parse_json(json)
     got = F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant"))
-    return got.startswith("ARRAY") if kind == "array" else got == _SCHEMAS[kind]
+    if kind == "array":
+        return got.startswith("ARRAY")
+    fits = got == _SCHEMAS[kind]
+    return fits & (F.try_variant_get(v, f"$.{key}", "bigint") >= 0) if kind == "int" else fits
+
+
+def fits(json: Column, required: dict[str, str], optional: dict[str, str]) -> Column:
+    """Whether an object has the required keys, none beside the optional ones, and
+    each of its type.  An optional key may be null, a flag may not."""
+    ok = has_exact_keys(json, list(required), list(optional))
+    for k, t in required.items():
+        ok = ok & _is(json, k, t)
+    here = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    for k, t in optional.items():
+        absent = ~F.array_contains(here, k)
+        if t != "bool":
+            got = F.schema_of_variant(F.variant_get(F.try_parse_json(json), f"$.{k}", "variant"))
+            absent = absent | (got == "VOID")
+        ok = ok & (absent | F.coalesce(_is(json, k, t), F.lit(False)))
+    return F.coalesce(ok, F.lit(False))
 
 
 def tool_kind(name: Column, json: Column) -> Column:
     """Command, Read, Write, Edit, MultiEdit, Bash or Raw."""
-    out = F.when(name.startswith("/"), F.lit("Command"))
+    out = F.when(name.startswith("/") & fits(json, {}, COMMAND), F.lit("Command"))
     for kind, (required, optional) in SHAPES.items():
-        ok = has_exact_keys(json, list(required), list(optional))
-        for k, t in required.items():
-            ok = ok & _is(json, k, t)
-        for k, t in optional.items():
-            absent = ~F.array_contains(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), k)
-            ok = ok & (absent | _is(json, k, t))
+        ok = fits(json, required, optional)
         if kind == "MultiEdit":
             edits = F.from_json(F.get_json_object(json, "$.edits"), "array<string>")
             required_e, optional_e = SHAPES["Edit"]
-            keys = [k for k in required_e if k != "file_path"]
-            ok = ok & F.coalesce(F.forall(edits, lambda e: has_exact_keys(e, keys, list(optional_e))), F.lit(False))
+            needed = {k: t for k, t in required_e.items() if k != "file_path"}
+            ok = ok & F.coalesce(F.forall(edits, lambda e: fits(e, needed, optional_e)), F.lit(False))
         out = out.when((name == kind) & ok, F.lit(kind))
     return out.otherwise(F.lit("Raw"))
