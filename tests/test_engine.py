@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from threadloom.functions import text as T
 from threadloom.operators import folds, slicing, tools
 from threadloom.operators import search as S
+from threadloom.plans import transcripts as _  # noqa: F401 - adds its queries
 from threadloom.plans.catalog import ORACLES, QUERIES
 from threadloom.sources import simple
 
@@ -88,7 +89,10 @@ def test_tool_typing(spark):
         ("Read", '{"file_path":"a","limit":3}', "Read"),
         ("MultiEdit", '{"file_path":"a","edits":[{"old_string":"b","new_string":"c"}]}', "MultiEdit"),
         ("MultiEdit", '{"file_path":"a","edits":[{"old_string":"b","new_string":"c","z":1}]}', "Raw"),
-        ("Bash", '{"command":"ls","timeout":5}', "Bash"),
+        ("Bash", '{"command":"ls","timeout_ms":5,"workdir":"/"}', "Bash"),
+        ("Bash", '{"command":"ls","timeout":5}', "Raw"),
+        ("/clear", '{"x":1}', "Raw"),
+        ("MultiEdit", '{"file_path":"a","edits":[{"old_string":1,"new_string":"c"}]}', "Raw"),
         ("Bash", "not json", "Raw"),
         ("/clear", "{}", "Command"),
         ("mcp__x", "{}", "Raw"),

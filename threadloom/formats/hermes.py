@@ -222,3 +222,7 @@ class Hermes(Format):
 
     def from_common(self, session: Session) -> Any:
         return to_export(session)
+
+    def unit_files(self, meta: Meta, body: Any) -> list[dict]:
+        """The export document; the store itself is never written."""
+        return [{"name": f"{meta.id or 'session'}.json", "content": b.compact(body).encode()}]

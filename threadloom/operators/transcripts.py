@@ -118,8 +118,9 @@ def text(rows: DataFrame, start: int = 0, end: int | None = None, fragment: bool
     def optional(name: str, column: str) -> Column:
         return F.when(F.coalesce(F.col(column), F.lit("")) == "", "").otherwise(field(name, F.col(column)))
 
-    micros = F.when(F.date_format("ts", "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.date_format("ts", "SSSSSS"), "000$", "")))
-    started = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), micros, F.lit("+00:00"))
+    utc = F.to_utc_timestamp("ts", F.current_timezone())
+    micros = F.when(F.date_format(utc, "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.date_format(utc, "SSSSSS"), "000$", "")))
+    started = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), micros, F.lit("+00:00"))
     head = F.concat(F.lit("[session]\n"), field("id", F.col("id")), field("started", started), *[optional(n, c) for n, c in (("title", "title"), ("cwd", "cwd"), ("branch", "git_branch"), ("model", "model"))])
     if fragment:
         named = F.when(size == 1, F.concat(F.lit("#"), F.lit(start + 1))).otherwise(F.concat(F.lit(f"#{start + 1}-"), stop.cast("string")))

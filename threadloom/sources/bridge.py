@@ -68,3 +68,64 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("name"),
         F.col("props").alias("input"),
     )
+
+
+
+def _block(**given):
+    """A block's struct; what isn't given is null."""
+    from .stores import _BLOCK
+
+    fields = [F.coalesce(given[f.name], F.lit(None).cast(f.dataType)).alias(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in _BLOCK.fields]
+    return F.struct(*fields)
+
+
+def _message(role, ts, content):
+    from .stores import _MESSAGE
+
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in _MESSAGE.fields}
+    return F.struct(*[(none | {"role": role.alias("role"), "ts": ts.alias("ts"), "content": content.alias("content")})[f.name] for f in _MESSAGE.fields])
+
+
+def _transcripts(heads: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
+    """Heads with the messages (key, pos, m) of each in order."""
+    from .stores import SCHEMA
+
+    nested = listed.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("messages"))
+    joined = heads.join(nested, key)
+    return joined.select(*[F.col(f.name).cast(f.dataType) if f.name in joined.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions with their messages as nested transcripts, one text each; a
+    message is a minute after the one before."""
+    heads = sessions(spark, sf_dir).withColumn("ts", F.timestamp_seconds("ts"))
+    m = messages(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_780_000_000) + F.col("seq") * 10_000 + F.col("msg_idx") * 60)
+    text = _block(type=F.lit("text"), text=F.col("text"), is_error=F.lit(False))
+    listed = m.select(*KEY, F.col("msg_idx").alias("pos"), _message(F.col("role"), at, F.array(text)).alias("m"))
+    return _transcripts(heads, listed, KEY)
+
+
+def tool_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript for each user of the events: calls of the assistant's and
+    failed results, in order, after an opening line."""
+    e = tool_events(spark, sf_dir).where("kind = 'use' OR call IS NOT NULL")
+    e = e.withColumn("id", F.concat(F.lit("user-"), F.col("user_id"))).withColumn("call", F.concat(F.lit("call-"), F.col("call")))
+    use = F.col("kind") == "use"
+    name = F.concat(F.lit("Do_"), F.col("name"))
+    call = _block(
+        type=F.lit("tool_use"), tool_use_id=F.col("call"), tool_kind=F.lit("Raw"), tool_name=name,
+        tool_input_json=F.regexp_replace("input", " ", ""), is_error=F.lit(False),
+    )
+    failed = _block(type=F.lit("tool_result"), tool_use_id=F.col("call"), output_text=F.concat(F.lit("failed\nat "), F.col("pos")), is_error=F.lit(True))
+    at = F.timestamp_seconds(F.lit(1_780_000_000) + F.col("pos") * 60)
+    role = F.when(use, "assistant").otherwise("user")
+    listed = e.select("id", "pos", _message(role, at, F.array(F.when(use, call).otherwise(failed))).alias("m"))
+    users = e.select("id").distinct()
+    opening = _block(type=F.lit("text"), text=F.concat(F.lit("I am "), F.col("id")), is_error=F.lit(False))
+    first = users.select("id", F.lit(-1).cast("bigint").alias("pos"), _message(F.lit("user"), F.timestamp_seconds(F.lit(1_780_000_000)), F.array(opening)).alias("m"))
+    heads = users.select(
+        F.lit("simple").alias("harness"), "id", F.concat(F.lit("/tools/"), F.col("id")).alias("source"), F.timestamp_seconds(F.lit(1_780_000_000)).alias("ts"),
+        F.lit("/work").alias("cwd"),
+    )
+    return _transcripts(heads, listed.unionByName(first), ["id"])

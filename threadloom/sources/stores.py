@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import sqlite3
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 from typing import Any
 from urllib.parse import unquote, urlparse
 
@@ -89,17 +89,22 @@ def transcript_row(harness: str, unit: Unit, fingerprint: str | None, meta: Meta
     return head | {"harness": harness, "source": unit.source, "ts": meta.timestamp, "updated_at": unit.mtime, "fingerprint": fingerprint, "messages": listed}
 
 
+def _utc(t: datetime | None) -> datetime | None:
+    """Times come in the session's zone."""
+    return t and (t.replace(tzinfo=UTC) if t.tzinfo is None else t.astimezone(UTC))
+
+
 def row_session(r: dict) -> Session:
-    meta = Meta(r["id"] or "", r["ts"] or b.EPOCH, *(r.get(k) for k in ("cwd", "git_branch", "title", "cli_version", "model")))
+    meta = Meta(r["id"] or "", _utc(r["ts"]) or b.EPOCH, *(r.get(k) for k in ("cwd", "git_branch", "title", "cli_version", "model")))
     messages = []
     for m in r["messages"] or []:
         blocks = [row_block(x) for x in m["content"] or []]
-        messages.append(b.message(m["role"], blocks, m["ts"] or meta.timestamp, m["model"], m["stop_reason"], m["usage"]))
+        messages.append(b.message(m["role"], blocks, _utc(m["ts"]) or meta.timestamp, m["model"], m["stop_reason"], m["usage"]))
     return Session(meta, messages)
 
 
 def _batch(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema, timezone="UTC"))
+    return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
 
 
 def units(spark: SparkSession, harness: str, root: str) -> DataFrame:
@@ -139,7 +144,7 @@ def parse(files: DataFrame, harness: str, strict: bool = False) -> DataFrame:
         fmt = FORMATS[name]
         for batch in batches:
             for r in batch.to_pylist():
-                unit = Unit(r["source"], {f["name"]: f["content"] for f in r["files"]}, r["mtime"] or b.EPOCH)
+                unit = Unit(r["source"], {f["name"]: f["content"] for f in r["files"]}, _utc(r["mtime"]) or b.EPOCH)
                 try:
                     cursors = fmt.cursors(unit) if hasattr(fmt, "cursors") and _many(unit) else {}
                     found = [transcript_row(name, unit, cursors.get(m.id, r["fingerprint"]), m, fmt.to_common(m, body)) for m, body in fmt.sessions(unit)]
@@ -364,3 +369,16 @@ def fresh(meta: Meta, now: datetime, cwd: str | None = None) -> Meta:
 def numbered(heads: DataFrame) -> DataFrame:
     """``discover``'s rows with ``seq`` by harness: their order in the store."""
     return heads.withColumn("seq", F.row_number().over(Window.partitionBy("harness").orderBy(F.desc("ts"), "source", "id")) - 1)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all machines reach, from ``spark.checkpoint.dir``; on one
+    machine (a local master) without that setting, a folder of its own."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="threadloom-stores-")
+    return root.rstrip("/")
