@@ -40,7 +40,7 @@ def sample():
             base.message("assistant", [base.text("looking")], at(1), "model-x"),
             base.message("assistant", [base.call("c1", "Edit", {"file_path": "a.py", "old_string": "x", "new_string": "y"})], at(1), "model-x", "tool_use", base.usage(10, 5)),
             base.message("user", [base.result("c1", "done")], at(2)),
-            base.message("assistant", [base.call("c2", "Bash", {"command": "ls", "timeout_ms": 2000})], at(3), "model-x", "tool_use"),
+            base.message("assistant", [base.call("c2", "Bash", {"command": "ls", "workdir": "/w"})], at(3), "model-x", "tool_use"),
             base.message("user", [base.result("c2", "no such file", True)], at(4)),
             base.message("assistant", [base.call("c3", "Custom_thing", {"k": [1, "z"]})], at(5), "model-x", "tool_use"),
             base.message("user", [base.result("c3", "ok")], at(6)),
@@ -350,6 +350,58 @@ def test_simple_pairs_first_in_first_out():
     assert m[2]["stop_reason"] == "other:end_turn" and m[3]["timestamp"] == m[2]["timestamp"] != T0
 
 
+def test_cursor_reads_blobs_and_both_headers():
+    rows = [{"role": "system", "content": "s"}, {"role": "user", "content": "<user_info>\nWorkspace Path: /ws"}, {"role": "user", "content": [{"type": "text", "text": "<user_query>\nhi [REDACTED]\n</user_query>"}], "createdAt": 5000},
+            {"role": "assistant", "content": [{"type": "redacted-reasoning", "data": "E"}, {"type": "tool-call", "toolName": "StrReplace", "args": {"path": "f", "oldString": "a", "newString": "b"}, "providerOptions": {"cursor": {"modelName": "mm"}}}]},
+            {"role": "tool", "content": [{"type": "tool-result", "toolCallId": "x", "result": "Error: no"}, {"type": "tool-result", "toolCallId": "y", "result": "ran, exited with code 1", "isError": False}]}]
+    from threadloom.formats.cursor import database
+
+    blobs = [(str(i), json.dumps(r).encode()) for i, r in enumerate(rows)] + [("z", b"\x0a\x02graph")]
+    for value in (json.dumps({"name": "N", "createdAt": 7000}), json.dumps({"name": "N", "createdAt": 7000}).encode().hex()):
+        db = database({"blobs": ("id TEXT PRIMARY KEY, data BLOB", blobs), "meta": ("key TEXT PRIMARY KEY, value TEXT", [("0", value)])})
+        ((meta, m),) = load("cursor", {"store.db": db, "meta.json": b'{"title":""}'}, "/c/ws/s7")
+        assert (meta.id, meta.title, meta.cwd, meta.model, meta.timestamp) == ("s7", "hi", "/ws", "mm", base.from_ms(7000))
+    assert shape(m) == [("user", ["text"]), ("assistant", ["thinking", "tool_use"]), ("user", ["tool_result", "tool_result"])]
+    assert m[1]["content"][1]["input"] == {"file_path": "f", "old_string": "a", "new_string": "b"} and [x["is_error"] for x in m[2]["content"]] == [True, False]
+
+
+def test_cursor_desktop_orders_bubbles_and_drops_drafts():
+    from threadloom.formats.cursor import database
+
+    def bubble(i, kind, **more):
+        return f"bubbleId:c1:{i}", json.dumps({"bubbleId": i, "type": kind} | more)
+
+    call = {"name": "read_file_v2", "toolCallId": "a\nb", "params": '{"targetFile":"f","x":1}', "status": "completed", "result": '{"n":1}'}
+    kv = [bubble("b3", 2, text="after"), bubble("b2", 2, text="t", toolFormerData=call), bubble("b1", 1, text="q"), ("bubbleId:c1:bad", "{"), ("composerData:c1", json.dumps({"fullConversationHeadersOnly": [{"bubbleId": x} for x in ("b1", "b2", "b3", "b1")], "modelConfig": {"modelName": "default"}})), ("composerData:c2", "{}")]
+    heads = [("c1", None, 5000, 6000, 0, 0, 1, None, '{"name":" ","subtitle":"S"}'), ("c2", None, 1, 1, 0, 0, 2, None, "{}")]
+    from threadloom.formats.cursor_desktop import _HEAD
+
+    for tables in ({"composerHeaders": (_HEAD, heads)}, {}):
+        db = database(tables | {"cursorDiskKV": ("key TEXT PRIMARY KEY, value BLOB", kv)})
+        ((meta, m),) = load("cursor_desktop", db)
+        assert shape(m) == [("user", ["text"]), ("assistant", ["text", "tool_use"]), ("user", ["tool_result"]), ("assistant", ["text"])]
+        assert m[1]["content"][1] == base.call("a_b", "Read", {"file_path": "f"}) and m[2]["content"][0] == base.result("a_b", Json({"n": 1}))
+        assert (meta.id, meta.title, meta.model) == ("c1", "S" if tables else None, None)
+
+
+def test_antigravity_reads_steps_and_broken_payloads():
+    from threadloom.formats import antigravity as ag
+    from threadloom.formats import protobuf as pb
+
+    s = sample()
+    s.messages[-1]["stop_reason"] = "other:stop-77"
+    back = hop(s, "antigravity")
+    assert back.meta.cwd == "/w/dir" and back.meta.git_branch == "main" and back.meta.title == "please fix it" and back.messages[-1]["stop_reason"] == "other:stop-77"
+    data = pb.encode([(1, 300), (2, "text"), (3, b"\x08\x01")])
+    assert pb.fields(data) == [(1, 300), (2, b"text"), (3, b"\x08\x01")]
+    for cut in range(len(data)):
+        assert pb.fields(data[:cut]) == pb.fields(data)[: len(pb.fields(data[:cut]))]
+    assert ag.canonical_call("run_command", {"CommandLine": "x", "WaitMsBeforeAsync": 2000, "toolAction": "y"}) == ("Bash", {"command": "x"})
+    assert ag.canonical_call("run_command", {"CommandLine": "x", "WaitMsBeforeAsync": 1})[0] == "run_command"
+    assert ag.canonical_call("view_file", {"AbsolutePath": "f", "StartLine": 5, "EndLine": 2})[0] == "view_file"
+    assert ag.canonical_call("view_file", {"AbsolutePath": "f", "EndLine": 2})[1] == {"file_path": "f", "limit": 2}
+
+
 # Conversions
 
 
@@ -376,7 +428,9 @@ def hop(session, name):
         files = {"f": base.compact(body).encode()}
     else:
         files = {f["name"]: f["content"] for f in stores._as_unit(fmt, fmt.render(session.meta, body))}
-    ((meta, body2),) = fmt.sessions(Unit("/s/x", files, session.meta.timestamp))
+    if name == "antigravity":
+        files = {n: v for n, v in files.items() if n.endswith(".db")}
+    ((meta, body2),) = fmt.sessions(Unit(f"/s/{session.meta.id}", files, session.meta.timestamp))
     return Session(meta, fmt.to_common(meta, body2))
 
 
@@ -410,10 +464,10 @@ BLOCKS = st.one_of(
 @given(st.lists(st.tuples(BLOCKS, st.booleans()), max_size=5))
 def test_generated_conversations_survive(units):
     s = Session(Meta("g1", T0), [base.message("user", [base.text("start")], T0)])
-    for block, failed in units:
-        s.messages.append(base.message("assistant", [block], T0, "m", "end_turn"))
+    for n, (block, failed) in enumerate(units):
+        s.messages.append(base.message("assistant", [block], at(n + 1), "m", "end_turn"))
         if block["type"] == "tool_use":
-            s.messages.append(base.message("user", [base.result(block["id"], "out", failed)], T0))
+            s.messages.append(base.message("user", [base.result(block["id"], "out", failed)], at(n + 1)))
     for name in WRITABLE:
         assert said(hop(s, name).messages) == said(s.messages), name
 

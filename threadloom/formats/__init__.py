@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .amp import Amp
+from .antigravity import Antigravity
 from .base import Format, Json, Meta, Session, Unit, Unsupported
 from .claude_chat import ClaudeChat
 from .claude_code import ClaudeCode
 from .codex import Codex
 from .cowork import Cowork
+from .cursor import Cursor
+from .cursor_desktop import CursorDesktop
 from .grok import Grok
 from .hermes import Hermes
 from .opencode import OpenCode
@@ -15,7 +18,10 @@ from .pi import Campfire, Pi
 from .simple import Simple
 
 FORMATS: dict[str, Format] = {
-    f.name: f for f in (ClaudeCode(), ClaudeChat(), Cowork(), Codex(), OpenCode(), Pi(), Campfire(), Grok(), Hermes(), Amp(), Simple())
+    f.name: f
+    for f in (
+        ClaudeCode(), ClaudeChat(), Cowork(), Codex(), OpenCode(), Pi(), Campfire(), Cursor(), CursorDesktop(), Grok(), Hermes(), Amp(), Antigravity(), Simple(),
+    )
 }
 
 __all__ = ["FORMATS", "Format", "Json", "Meta", "Session", "Unit", "Unsupported", "convert", "get"]

@@ -14,7 +14,7 @@ from ..sources import bridge, stores
 from .catalog import query
 
 #: Formats that are read and written.
-ROUND = [n for n in stores.FORMATS if n not in ("claude_chat", "cursor_desktop")]
+ROUND = [n for n in stores.FORMATS if n != "claude_chat"]
 
 
 def _round(name: str):
@@ -47,7 +47,7 @@ _TOOLS = """
         FROM blocks WHERE kind = 'use' OR call IS NOT NULL),
     users AS (SELECT DISTINCT id FROM tool_rows)"""
 #: Formats whose results keep ids, outputs and failures one by one.
-EXACT = ["claude_code", "pi", "campfire", "amp", "hermes", "grok", "cowork", "simple"]
+EXACT = ["claude_code", "pi", "campfire", "amp", "hermes", "grok", "cowork", "cursor", "cursor_desktop", "simple"]
 
 
 def tool_query(sql: str):
