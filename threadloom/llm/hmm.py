@@ -49,7 +49,7 @@ VOCABULARY_ROOT = 4
 #: Words of the vocabulary for each class of the words outside it.
 CLASS_WORDS = 125
 ROUNDS = 4
-SEGMENT = 512
+SEGMENT = 1024
 #: Words that a task works on at a time.
 BATCH_WORDS = 1_000_000
 _UNIT = 1 << 16
@@ -236,21 +236,23 @@ def _live(length: np.ndarray) -> list[int]:
     return [int(np.searchsorted(-length, -t, side="left")) for t in range(top)]
 
 
-def transfers(model: HMM, grid: np.ndarray, length: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """The product of the matrices of each stretch, of sum 1.  The first word of a
-    sequence (of the stretches marked ``lead``) has no move before it."""
+def transfers(model: HMM, grid: np.ndarray, length: np.ndarray, lead: np.ndarray, kind=np.float64) -> np.ndarray:
+    """The product of the matrices of each stretch, up to a factor.  The first word
+    of a sequence (of the stretches marked ``lead``) has no move before it.  A word's
+    emissions are taken over their mean, so products stay near 1 for many words."""
     k, live = len(model.start), _live(length)
-    b = np.ascontiguousarray(model.emit.T)
-    prod = np.broadcast_to(np.eye(k), (len(length), k, k)).copy()
+    b = np.ascontiguousarray((model.emit / model.emit.mean(axis=0)).T.astype(kind))
+    move = model.move.astype(kind)
+    prod = np.broadcast_to(np.eye(k, dtype=kind), (len(length), k, k)).copy()
     for t, n in enumerate(live):
         p = prod[:n]
-        moved = (p.reshape(-1, k) @ model.move).reshape(n, k, k)
+        moved = (p.reshape(-1, k) @ move).reshape(n, k, k)
         if t == 0:
             moved[lead[:n]] = p[lead[:n]]
         np.multiply(moved, b[grid[t, :n]][:, None, :], out=p)
-        if t % 8 == 7 or t == len(live) - 1:
+        if t % 16 == 15:
             p /= p.sum(axis=(1, 2))[:, None, None]
-    return prod
+    return prod / prod.sum(axis=(1, 2))[:, None, None]
 
 
 def borders(model: HMM, grid: np.ndarray, length: np.ndarray, owner: np.ndarray, backward: bool = False):
@@ -275,7 +277,8 @@ def borders(model: HMM, grid: np.ndarray, length: np.ndarray, owner: np.ndarray,
     within[order] = np.repeat(several, np.diff(np.append(np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1])), len(owner))))
     at = np.flatnonzero(within)
     prod = np.zeros((len(owner), k, k))
-    prod[at] = transfers(model, grid[:, at], length[at], lead[at])
+    # training works in single precision, scoring in double
+    prod[at] = transfers(model, grid[:, at], length[at], lead[at], np.float32 if backward else np.float64)
     for j in range(int(count.max()) - 1):
         todo = first[count > j + 1] + j
         w = np.einsum("nk,nkl->nl", enter[order[todo]], prod[order[todo]])
@@ -303,11 +306,12 @@ def expected_counts(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT):
     begin = enter.copy()
     begin[later] = enter[later] @ model.move
     enter, leave = enter.astype(np.float32), leave.astype(np.float32)
+    ones = np.ones((k, 1), np.float32)  # a product sums short rows faster
     alpha, scale, like = [], [], 0.0
     for t, n in enumerate(live):
         f = begin.astype(np.float32) if t == 0 else alpha[-1][:n] @ a
         f = f * b[grid[t, :n]]
-        c = f.sum(axis=1, keepdims=True)
+        c = f @ ones
         f /= c
         alpha.append(f)
         scale.append(c)
@@ -319,7 +323,7 @@ def expected_counts(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT):
         if len(beta) < n:  # stretches that end here
             beta = np.concatenate([beta, leave[len(beta) : n]])
         gamma = alpha[t] * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
+        gamma /= gamma @ ones
         gammas.append(gamma)
         symbols.append(grid[t, :n])
         x = b[grid[t, :n]] * beta / scale[t]
@@ -345,10 +349,10 @@ def log_likelihoods(model: HMM, seqs: list[np.ndarray], size: int = SEGMENT) ->
     lead, f, _ = borders(model, grid, length, owner)
     f[~lead] = f[~lead] @ model.move
     b = np.ascontiguousarray(model.emit.T)
-    logs = np.zeros(len(owner))
+    logs, ones = np.zeros(len(owner)), np.ones(len(model.start))
     for t, n in enumerate(live):
         f = (f if t == 0 else f[:n] @ model.move) * b[grid[t, :n]]
-        c = f.sum(axis=1)
+        c = f @ ones
         f /= c[:, None]
         logs[:n] += np.log(c)
     np.add.at(out, owner, logs)
