@@ -47,7 +47,7 @@ _TOOLS = """
         FROM blocks WHERE kind = 'use' OR call IS NOT NULL),
     users AS (SELECT DISTINCT id FROM tool_rows)"""
 #: Formats whose results keep ids, outputs and failures one by one.
-EXACT = ["claude_code", "pi", "campfire", "amp", "hermes", "grok", "cowork", "cursor", "cursor_desktop", "simple"]
+EXACT = ["claude_code", "pi", "campfire", "amp", "hermes", "grok", "cowork", "cursor", "simple"]
 
 
 def tool_query(sql: str):
