@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["harness", "id", "source"]
 
@@ -46,20 +49,29 @@ def first_appearance_ordinals(df: DataFrame, key: list[str], order: str, column:
     return firsts.withColumn(out, F.dense_rank().over(Window.partitionBy(*key).orderBy("_first")).cast("bigint")).drop("_first")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _chunk_numbers(sizes: pd.Series, budget: pd.Series) -> pd.Series:
+    out = []
+    for row, most in zip(sizes, budget):
+        numbers = np.zeros(len(row), np.int64)
+        n = used = 0
+        for i, size in enumerate(row.tolist()):
+            if used > 0 and used + size > most:
+                n, used = n + 1, 0
+            used += size
+            numbers[i] = n
+        out.append(numbers)
+    return pd.Series(out)
+
+
 def greedy_chunks(sizes: DataFrame, key: list[str], order: str, size: str, budget: int) -> DataFrame:
     """Rows with ``chunk`` from 0: a new chunk begins where the next row would
-    pass the budget; a row larger than it stands alone."""
-    step = F.aggregate(
-        "_items",
-        F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("used")),
-        lambda a, x: F.when(
-            (a["used"] > 0) & (a["used"] + x["size"] > budget),
-            F.struct(F.concat(a["out"], F.array(a["n"] + 1)).alias("out"), (a["n"] + 1).alias("n"), x["size"].alias("used")),
-        ).otherwise(F.struct(F.concat(a["out"], F.array(a["n"])).alias("out"), a["n"].alias("n"), (a["used"] + x["size"]).alias("used"))),
-        lambda a: a["out"],
-    )
-    items = sizes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(size).cast("bigint").alias("size")))).alias("_items"))
-    pairs = items.select(*key, F.explode(F.arrays_zip(F.col("_items"), step.alias("c"))).alias("z"))
+    pass the budget; a row larger than it stands alone.  One pass over the sizes of a
+    session, which travel as an array."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(size).cast("bigint").alias("size"))))
+    items = sizes.groupBy(*key).agg(listed.alias("_items"))
+    numbers = _chunk_numbers(F.transform("_items", lambda x: x["size"]), F.lit(budget).cast("bigint"))
+    pairs = items.select(*key, F.explode(F.arrays_zip(F.col("_items"), numbers.alias("c"))).alias("z"))
     return pairs.select(*key, F.col("z._items.ord").alias(order), F.col("z._items.size").alias(size), F.col("z.c").alias("chunk"))
 
 
@@ -70,29 +82,27 @@ def balanced_shards(df: DataFrame, key: list[str], order: str, size: str, shards
     return df.withColumn("shard", F.floor(before * shards / F.greatest(F.sum(size).over(all_), F.lit(1))).cast("bigint"))
 
 
-def active_path(nodes: DataFrame, leaves: DataFrame, key: list[str], most: int = 1 << 20) -> DataFrame:
-    """Nodes on the way from each leaf to its root, by pointer doubling: each
-    round joins on twice the distance, so the rounds are the logarithm of the
-    depth.  ``nodes`` has (key, node, parent), ``leaves`` (key, node); adds
-    ``depth`` from the leaf.  The jump table is cut by a checkpoint."""
-    spark = nodes.sparkSession
-    path = leaves.select(*key, "node", F.lit(0).cast("bigint").alias("depth"))
-    jump = nodes.where("parent IS NOT NULL").select(*key, F.col("node").alias("at"), F.col("parent").alias("to"))
-    step = 1
-    has_folder = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    while step < most:
-        more = path.join(jump, [(path[k] == jump[k]) for k in key] + [path["node"] == jump["at"]]).select(
-            *[path[k] for k in key], F.col("to").alias("node"), (F.col("depth") + step).alias("depth")
-        )
-        if has_folder:
-            more = more.checkpoint()
-        if more.isEmpty():
-            break
-        path = path.unionByName(more)
-        other = jump.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("at").alias("_at"), F.col("to").alias("_to"))
-        on = [(F.col(k) == F.col(f"_{k}")) for k in key] + [F.col("to") == F.col("_at")]
-        jump = jump.join(other, on).select(*key, "at", F.col("_to").alias("to"))
-        if has_folder:
-            path, jump = path.checkpoint(), jump.checkpoint()
-        step *= 2
-    return path
+def active_path(nodes: DataFrame, leaves: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes on the way from each leaf to its root.  ``nodes`` has (key, node,
+    parent), ``leaves`` (key, node); adds ``depth``, counted from the end.  A loop, a
+    leaf or a parent that isn't there gives all nodes of the session, in their order.
+
+    A session's nodes travel as arrays and are walked in one pass, however deep."""
+    listed = F.sort_array(F.collect_list(F.struct("node", "parent")))
+    per = nodes.groupBy(*key).agg(listed.alias("_nodes")).join(leaves.select(*key, F.col("node").alias("_leaf")), key)
+
+    @F.pandas_udf(T.ArrayType(nodes.schema["node"].dataType))
+    def walk(listed: pd.Series, leaf: pd.Series) -> pd.Series:
+        out = []
+        for rows, here in zip(listed, leaf):
+            parents = {r["node"]: r["parent"] for r in rows}
+            path: dict = {}
+            while here is not None and here == here and here in parents and here not in path:
+                path[here] = True
+                here = parents[here]
+            sound = path and (here is None or here != here)
+            out.append(list(path) if sound else [r["node"] for r in rows][::-1])
+        return pd.Series(out)
+
+    found = per.select(*key, F.posexplode(walk("_nodes", "_leaf")).alias("depth", "node"))
+    return found.select(*key, "node", F.col("depth").cast("bigint").alias("depth"))

@@ -15,6 +15,7 @@ from ..operators import search as S
 from ..operators import sessions as L
 from ..operators.lines import lines as extract_lines
 from ..operators.lines import meta_lines
+from ..operators.needles import needles_in
 from ..sources import bridge, simple
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,11 +535,13 @@ def artifact_hashes(spark, d):
 
 @query("SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0 GROUP BY 1")
 def artifact_literal_needles(spark, d):
-    needles = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("needle"))
+    needles = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("text")
-    return docs.join(needles, F.expr("instr(text, needle) > 0")).groupBy("item_id").agg(F.count("*").alias("docs"))
+    return needles_in(docs, "text", needles).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
-@query(None)
+@query("""SELECT id, '{"cwd":' || to_json(cwd) || coalesce(',"git_branch":' || to_json(git_branch), '') || ',"id":' || to_json(id) || ',"messages":['
+        || (SELECT string_agg('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}', ',' ORDER BY msg_idx) FROM messages m WHERE m.id = s.id)
+        || ']' || coalesce(',"title":' || to_json(title), '') || '}' AS document FROM sessions s""")
 def export_simple(spark, d):
     return simple.render(bridge.sessions(spark, d), bridge.messages(spark, d))

@@ -17,7 +17,6 @@ import sqlite3
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from typing import Any
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -318,10 +317,11 @@ def delete(harness: str, source: str, root: str) -> None:
 
 
 def _local(path: str) -> str:
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
+    """Spark gives paths with their scheme and without percent-encoding."""
+    m = re.fullmatch(r"(?:(\w+):(?://)?)?(/.*)", path)
+    if m is None or m[1] not in (None, "file"):
         raise Unsupported(f"{path} isn't a local file")
-    return unquote(url.path) if url.scheme else path
+    return m[2]
 
 
 def materialise(session: Session, folder: str, most: int = 64 << 20) -> Session:

@@ -1,0 +1 @@
+"""Stores of sessions as streams."""
