@@ -74,7 +74,7 @@ def test_reading_searching_and_slicing(spark, roots):
     assert "fragment=#3-4\nof=4\n" in part and "── #3 ──\n[result 1 error]" in part and "let me see" not in part
     assert len(api.read_session(spark, roots, "Title 0", "claude", budget=60)) > 3 and "".join(api.read_session(spark, roots, "id-2", "pi", budget=60)) == text
     for bad in ("id-", "zzz", ""):
-        with pytest.raises(Unsupported):
+        with pytest.raises(LookupError):
             api.read_session(spark, roots, bad)
     found = api.search_sessions(spark, roots, "needle stack", hits=1).collect()
     assert len(found) == 6 and all("needle" in r.text for r in found)
@@ -220,3 +220,39 @@ def test_fingerprints_and_conversion_of_files(spark, roots, tmp_path):
     assert next(iter(out)).startswith("2026/03/04/rollout-2026-03-04T06-06-07-id-1") and "antigravity" in api.harnesses()
     store = spark.createDataFrame([("simple", "1", "v")], "harness string, id string, writer_version string")
     assert incremental.cache_current(store, "v").count() == 1
+
+
+def test_one_session_or_none(spark):
+    from threadloom.operators.sessions import NotOne, find_session
+
+    rows = spark.createDataFrame([("ab1", "T", 1, 0), ("ab1", "U", 5, 1), ("ab2", "ab1", 9, 2), ("cd", None, 3, 3)], "id string, title string, ts bigint, seq bigint")
+    assert find_session(rows, "ab1").first().seq == 2 and find_session(rows, "c").first().id == "cd" and find_session(rows, "T").first().seq == 0
+    for bad in ("", "ab", "zz"):
+        with pytest.raises(NotOne):
+            find_session(rows, bad)
+
+
+def test_an_index_takes_and_gives_sessions(spark):
+    index = api.Searcher(frame(spark, talk(1), talk(2)))
+    index.insert(frame(spark, talk(2, "other words"), talk(3)))
+    assert len(index) == 3 and {r.id for r in index.query(S.Query.substring("hello")).collect()} == {"id-1", "id-3"}
+    index.remove(frame(spark, talk(1)))
+    assert len(index) == 2 and [r.id for r in index.query(S.Query.fuzzy("'other words$")).collect()] == ["id-2", "id-2"]
+
+
+def test_what_a_user_types():
+    from threadloom.functions.driver import parse_when, resume_command, unified_diff
+
+    assert parse_when("2026-01-02", "Europe/Berlin") == datetime(2026, 1, 1, 23, tzinfo=UTC)
+    assert parse_when("2026-01-02", end=True) == datetime(2026, 1, 2, 23, 59, 59, tzinfo=UTC) and parse_when("2026-01-02T03:04:05+01:00").hour == 2
+    for bad in ("yesterday", "2026-01-02T03:04:05"):
+        with pytest.raises(ValueError):
+            parse_when(bad)
+    assert resume_command("run --id '{id}' x", "a b") == ["run", "--id", "a b", "x"]
+    text, plus, minus = unified_diff("f", "a\nb\n", "a\nc\nd\n")
+    assert (plus, minus) == (2, 1) and "-b\n+c" in text
+
+
+def test_cursors_follow_what_changes(spark, roots):
+    found = stores.cursors(spark, roots)
+    assert found.where("cursor = ''").count() == 0 and found.count() == 12

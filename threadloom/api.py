@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .formats import FORMATS, Session, Unit, Unsupported, get
+from .formats import FORMATS, Session, Unit, get
 from .functions.text import under_dir
 from .operators import search as S
 from .operators import slicing
+from .operators.sessions import find_session
 from .operators import transcripts as R
 from .sources import stores
 
@@ -71,15 +72,7 @@ def read_session(spark: SparkSession, roots: dict[str, str], ref: str, harness:
     most ``budget`` bytes where its sections allow.  ``ref`` is an id, a title, or the
     start of one id only."""
     name, span = slicing.split_reference(ref)
-    rows = _transcripts(spark, roots, harness)
-    if not name:
-        raise Unsupported("an empty reference names no session")
-    exact = rows.where((F.col("id") == name) | (F.col("title") == name)).orderBy(F.desc("ts"), "source").limit(1)
-    if exact.isEmpty():
-        ids = [r[0] for r in rows.where(F.col("id").startswith(name)).select("id").distinct().limit(2).collect()]
-        if len(ids) != 1:
-            raise Unsupported(f"{ref!r} names {'several sessions' if ids else 'no session'}")
-        exact = rows.where(F.col("id") == ids[0]).orderBy(F.desc("ts"), "source").limit(1)
+    exact = find_session(_transcripts(spark, roots, harness), name)
     if span is None:
         body = R.text(exact).first()["body"]
     else:
@@ -103,4 +96,25 @@ def pieces(body: str, budget: int) -> list[str]:
     return out
 
 
-__all__ = ["convert", "harnesses", "list_sessions", "pieces", "read_session", "search_sessions"]
+class Searcher:
+    """An index of transcripts to which sessions are added and from which they are
+    taken; the last one added under a key counts, in the place of the first."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def insert(self, rows: DataFrame) -> None:
+        self.rows = self.rows.join(rows.select(*R.KEY), R.KEY, "left_anti").unionByName(rows)
+
+    def remove(self, keys: DataFrame) -> None:
+        self.rows = self.rows.join(keys.select(*R.KEY), R.KEY, "left_anti")
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def query(self, query: S.Query) -> DataFrame:
+        heads = self.rows.select(*R.KEY, F.unix_micros("ts").alias("ts"), F.xxhash64("harness", "source", "id").alias("seq"))
+        return S.search(R.lines(self.rows).join(heads.select(*R.KEY, "seq"), R.KEY), heads, query)
+
+
+__all__ = ["Searcher", "convert", "harnesses", "list_sessions", "pieces", "read_session", "search_sessions"]

@@ -32,11 +32,11 @@ def filtered(
 
 def page(sessions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page, newest first, with ``total`` before paging and ``pos``.  The
-    total is an aggregate joined to the page, so no window holds all rows."""
-    total = sessions.agg(F.count("*").alias("total"))
+    total is one number, counted first, so no window holds all rows."""
+    total = sessions.count()
     rows = newest_first(sessions).offset(offset).limit(limit)
     pos = F.row_number().over(Window.orderBy(F.desc("ts"), F.asc("seq"))) + offset
-    return rows.withColumn("pos", pos.cast("bigint")).crossJoin(F.broadcast(total))
+    return rows.withColumn("pos", pos.cast("bigint")).withColumn("total", F.lit(total).cast("bigint"))
 
 
 def resolve_exact(sessions: DataFrame, needle: str) -> DataFrame:
@@ -56,4 +56,24 @@ def resolve_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
     if not prefix:
         return distinct_ids(sessions.where(F.lit(False))).withColumn("candidates", F.lit(0).cast("bigint"))
     found = distinct_ids(sessions.where(F.col("id").startswith(prefix)))
-    return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("candidates"))))
+    return found.withColumn("candidates", F.lit(found.count()).cast("bigint"))
+
+
+class NotOne(LookupError):
+    """A reference names no session, or several."""
+
+
+def find_session(sessions: DataFrame, needle: str) -> DataFrame:
+    """The one session that ``needle`` names: the newest whose id or title it is,
+    else the newest of the only id that it begins.  An empty one names none.
+    ``sessions`` has (id, title, ts) and perhaps ``seq``, the order among equals."""
+    if not needle:
+        raise NotOne("an empty reference names no session")
+    last = [F.desc("ts"), *([F.asc("seq")] if "seq" in sessions.columns else [F.asc("source")])]
+    exact = sessions.where((F.col("id") == needle) | (F.col("title") == needle))
+    if not exact.isEmpty():
+        return exact.orderBy(*last).limit(1)
+    ids = sorted(r[0] for r in sessions.where(F.col("id").startswith(needle)).select("id").distinct().limit(9).collect())
+    if len(ids) != 1:
+        raise NotOne(f"{needle!r} names {'sessions ' + ', '.join(ids) if ids else 'no session'}")
+    return sessions.where(F.col("id") == ids[0]).orderBy(*last).limit(1)

@@ -4,7 +4,7 @@ All are expressions over the nested columns: nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
@@ -64,9 +64,9 @@ def block_texts(role: Column, b: Column) -> Column:
     )
 
 
-def lines(rows: DataFrame) -> DataFrame:
-    """(key, msg_idx, block_idx, origin, line_seq, text): title, folder and branch
-    first, then all blocks in order; ends are trimmed and blank lines left out."""
+def line_array() -> Column:
+    """array of (m, b, o, t): message, block, origin and text of each searchable
+    line of a transcript."""
     meta = F.array_compact(F.array("title", "cwd", "git_branch"))
     head = F.transform(meta, lambda t: F.struct(F.lit(0).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("b"), F.lit("meta").alias("o"), t.alias("t")))
 
@@ -85,8 +85,13 @@ def lines(rows: DataFrame) -> DataFrame:
         parts = F.transform(F.split(x["t"], "\r?\n"), lambda s: F.regexp_replace(s, r"(?U)\s+$", ""))
         return F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.struct(x["m"].alias("m"), x["b"].alias("b"), x["o"].alias("o"), s.alias("t")))
 
-    all_lines = F.flatten(F.transform(F.concat(head, body), cut))
-    each = rows.select(*KEY, F.posexplode(all_lines).alias("n", "x"))
+    return F.flatten(F.transform(F.concat(head, body), cut))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """(key, msg_idx, block_idx, origin, line_seq, text): title, folder and branch
+    first, then all blocks in order; ends are trimmed and blank lines left out."""
+    each = rows.select(*KEY, F.posexplode(line_array()).alias("n", "x"))
     return each.select(
         *KEY, F.col("x.m").alias("msg_idx"), F.col("x.b").alias("block_idx"), F.col("x.o").alias("origin"),
         F.col("n").cast("bigint").alias("line_seq"), F.col("x.t").alias("text"),
@@ -159,17 +164,17 @@ def pairs(rows: DataFrame) -> DataFrame:
     """(key, use_idx, result_idx): messages of each result and of the latest call
     with its id before it."""
     b = blocks(rows).where(F.col("type").isin("tool_use", "tool_result")).select(*KEY, "msg_idx", "block_idx", "type", "tool_use_id")
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*KEY, "tool_use_id").orderBy("msg_idx", "block_idx").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.last(F.when(F.col("type") == "tool_use", F.col("msg_idx")), True).over(by)
     return b.withColumn("use_idx", seen).where("type = 'tool_result' AND use_idx IS NOT NULL").select(*KEY, "use_idx", F.col("msg_idx").alias("result_idx"))
 
 
 def counters(rows: DataFrame) -> DataFrame:
-    """(documents, lines, chars) of all transcripts."""
-    found = lines(rows).agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
-    return rows.agg(F.count("*").alias("documents")).crossJoin(found)  # one row each
+    """(documents, lines, chars) of all transcripts, in one pass."""
+    per = rows.select(line_array().alias("l"))
+    chars = F.aggregate("l", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["t"]))
+    none = F.lit(0).cast("bigint")
+    return per.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("l")), none).alias("lines"), F.coalesce(F.sum(chars), none).alias("chars"))
 
 
 def roll_up(rows: DataFrame) -> DataFrame:

@@ -337,13 +337,6 @@ def fifo_pairing(spark, d):
     return slicing.fifo_pairs(bridge.tool_events(spark, d), ["user_id"])
 
 
-@query("SELECT user_id, call, pos FROM blocks WHERE kind = 'result' AND call IS NOT NULL AND call NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
-def result_dedup_canonical(spark, d):
-    b = bridge.tool_events(spark, d)
-    canonical = b.where("name = 'purchase'").select("call")
-    return b.where("kind = 'result' AND call IS NOT NULL").join(canonical, "call", "left_anti").select("user_id", "call", "pos")
-
-
 @query("SELECT b.name, count(DISTINCT (b.user_id, b.pos)) AS uses, count(p.result_pos) AS failed FROM blocks b LEFT JOIN pairs p ON p.user_id = b.user_id AND p.use_pos = b.pos WHERE kind = 'use' GROUP BY 1")
 def is_error_rate_by_tool(spark, d):
     uses = bridge.tool_events(spark, d).where("kind = 'use'")
@@ -354,18 +347,6 @@ def is_error_rate_by_tool(spark, d):
 
 # Folds
 
-@query("""SELECT m.id, max(msg_idx) AS turn, (SELECT length(text) FROM messages x WHERE x.id = m.id AND x.role = 'user' ORDER BY msg_idx DESC LIMIT 1) AS tokens
-    FROM messages m WHERE role = 'assistant' GROUP BY 1""")
-def usage_backfill_turn(spark, d):
-    m = bridge.messages(spark, d)
-    user = F.col("role") == "user"
-    out = m.groupBy("id").agg(
-        F.max(F.when(~user, F.col("msg_idx"))).alias("turn"),
-        folds.last_known(F.when(user, F.length("text").cast("bigint")), F.col("msg_idx")).alias("tokens"),
-    )
-    return out.where("turn IS NOT NULL")
-
-
 @query("SELECT user_id, pos, last_value(CASE WHEN kind = 'use' THEN call END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos) AS carried FROM blocks")
 def carry_forward_ts(spark, d):
     b = bridge.tool_events(spark, d).withColumn("known", F.when(F.col("kind") == "use", F.col("call")))
@@ -461,30 +442,6 @@ def tool_typing_exact_keys(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", tools.has_exact_keys(F.col("props"), ["k"]).alias("exact"))
 
 
-@query("""SELECT s.id, name, CASE WHEN harness IN ('opencode', 'pi', 'campfire') AND name = 'bash' THEN 'Bash' WHEN harness = 'codex' AND name = 'shell' THEN 'Bash'
-        WHEN harness IN ('cursor', 'grok') AND name = 'Shell' THEN 'Bash' WHEN harness = 'hermes' AND name = 'terminal' THEN 'Bash' ELSE name END AS canonical
-    FROM sessions s, (SELECT unnest(['bash', 'shell', 'Shell', 'terminal', 'mcp__x']) AS name)""")
-def tool_name_normalise(spark, d):
-    names = F.array(*[F.lit(x) for x in ("bash", "shell", "Shell", "terminal", "mcp__x")])
-    rows = bridge.sessions(spark, d).select("harness", "id", F.explode(names).alias("name"))
-    return vocab.normalise(rows, vocab.TOOLS, "name", "canonical").drop("harness")
-
-
-@query("""SELECT s.id, stop, CASE WHEN harness IN ('opencode', 'pi', 'campfire', 'hermes') AND stop = 'length' THEN 'max_tokens'
-        WHEN harness IN ('opencode', 'pi', 'campfire', 'hermes') AND stop = 'stop' THEN 'end_turn' ELSE stop END AS canonical
-    FROM sessions s, (SELECT unnest(['stop', 'length', 'end_turn']) AS stop)""")
-def stop_reason_map(spark, d):
-    names = F.array(*[F.lit(x) for x in ("stop", "length", "end_turn")])
-    rows = bridge.sessions(spark, d).select("harness", "id", F.explode(names).alias("stop"))
-    return vocab.normalise(rows, vocab.STOPS, "stop", "canonical").drop("harness")
-
-
-@query("SELECT event_id, '{\"key\":' || json_extract(props, '$.k') || '}' AS renamed FROM events")
-def rename_keys_json(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.lit('{"key":'), k, F.lit("}")).alias("renamed"))
-
-
 @query(f"""SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
         (['8','9','a','b'])[(instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
     FROM (SELECT id, sha1(unhex('{NAMESPACE.hex}') || encode(id)) AS h FROM sessions)""")

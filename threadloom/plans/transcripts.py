@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -196,8 +197,8 @@ def _vocabulary(table: dict[str, str], name: str) -> str:
 
 def _every(spark, d, table: dict[str, str], known: list, name: str):
     """Every native word with each session: the words are few and fixed."""
-    words = F.broadcast(spark.createDataFrame([(h, n) for h, n, _ in _rows(table)], f"harness string, {name} string"))
-    rows = bridge.sessions(spark, d).select("id").crossJoin(words)
+    words = F.array(*[F.struct(F.lit(h).alias("harness"), F.lit(n).alias(name)) for h, n, _ in _rows(table)])
+    rows = bridge.sessions(spark, d).select("id", F.inline(words))
     return vocab.normalise(rows, known, name, "canonical")
 
 
@@ -228,3 +229,67 @@ def discover_stores(spark, d):
     heads = stores.discover(spark, {n: f"{root}/{n}" for n in SAVED}).withColumn("ts", F.unix_seconds("ts"))
     order = Window.orderBy(F.desc("ts"), "harness")  # numbers a listing for the comparison only
     return heads.select("harness", "id", "ts", "cwd", F.col("n_messages").cast("bigint").alias("n_messages"), F.row_number().over(order).cast("bigint").alias("pos"))
+
+
+@query(""", e AS (
+        SELECT *, 'c' || max(CASE WHEN event_type = 'signup' THEN event_id END) OVER before AS call,
+            max(CASE WHEN event_type = 'view' THEN n END) OVER before AS turn
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+        WINDOW before AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    v AS (SELECT user_id, n, event_id AS view_id FROM e WHERE event_type = 'view'),
+    kept AS (
+        SELECT e.*, view_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.n) - 1 AS msg_idx,
+            event_type = 'click' AND e.n = max(CASE WHEN event_type = 'click' THEN e.n END) OVER (PARTITION BY e.user_id, turn)
+                AND EXISTS (FROM v later WHERE later.user_id = e.user_id AND later.n > e.n) AND turn IS NOT NULL AS counted
+        FROM e LEFT JOIN v ON v.user_id = e.user_id AND v.n = e.turn
+        WHERE event_type IN ('signup', 'click') OR (call IS NOT NULL AND (event_type = 'purchase' OR (event_type = 'error'
+            AND NOT EXISTS (FROM e full_ WHERE full_.user_id = e.user_id AND full_.event_type = 'purchase' AND full_.call = e.call)))))
+    SELECT 'user-' || user_id AS id, msg_idx, CASE event_type WHEN 'signup' THEN 'tool_use' WHEN 'click' THEN 'text' ELSE 'tool_result' END AS type,
+        CASE WHEN event_type <> 'click' THEN call END AS call, CASE event_type WHEN 'click' THEN 'said ' || event_id WHEN 'error' THEN 'mirror'
+            WHEN 'purchase' THEN 'full' END AS said,
+        CASE WHEN event_type IN ('signup', 'click') THEN 'model-' || view_id % 5 END AS model, event_type = 'purchase' AND event_id % 2 = 1 AS is_error,
+        CASE WHEN counted THEN event_id END AS input_tokens
+    FROM kept""")
+def codex_fold(spark, d):
+    """Rollouts made of the events of each user: a view opens a turn (and ends the
+    one before), a signup is a call, a purchase its full result, an error a result
+    that only counts if there is no full one, a click is said and counted."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("n", F.row_number().over(order)).withColumn("call", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), True).over(before))
+    e = e.withColumn("turn", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True).over(before))
+
+    def line(kind: str, **fields) -> Column:
+        payload = F.struct(*[(v if not isinstance(v, (str, int)) else F.lit(v)).alias(k) for k, v in fields.items()])
+        return F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
+
+    def named(letter: str, column: str) -> Column:
+        return F.concat(F.lit(letter), F.col(column))
+
+    said = F.array(F.struct(F.lit("output_text").alias("type"), F.concat(F.lit("said "), "event_id").alias("text")))
+    count = F.struct(F.struct(F.col("event_id").alias("input_tokens"), F.lit(1).alias("output_tokens")).alias("last_token_usage"))
+    made = (
+        F.when(F.col("event_type") == "view", F.array(
+            line("event_msg", type="task_complete", turn_id=named("t", "turn")),
+            line("turn_context", turn_id=named("t", "event_id"), model=F.concat(F.lit("model-"), F.col("event_id") % 5)),
+        ))
+        .when(F.col("event_type") == "signup", F.array(line("response_item", type="function_call", name="Do", arguments=F.col("props"), call_id=named("c", "event_id"))))
+        .when(F.col("event_type") == "purchase", F.array(line("event_msg", type="exec_command_end", call_id=named("c", "call"), aggregated_output="full", exit_code=F.col("event_id") % 2)))
+        .when(F.col("event_type") == "error", F.array(line("response_item", type="function_call_output", call_id=named("c", "call"), output="mirror")))
+        .otherwise(F.array(line("response_item", type="message", role="assistant", content=said), line("event_msg", type="token_count", info=count)))
+    )
+    per = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("n", made.alias("lines")))).alias("l"))
+    body = F.array_join(F.flatten(F.transform("l", lambda x: x["lines"])), "\n")
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(named("user-", "user_id").alias("id")).alias("payload")))
+    files = per.select(
+        named("/events/", "user_id").alias("source"), F.timestamp_seconds(F.lit(0)).alias("mtime"), F.lit(None).cast("string").alias("fingerprint"),
+        F.array(F.struct(F.lit("f").alias("name"), F.encode(F.concat(head, F.lit("\n"), body), "utf-8").alias("content"))).alias("files"),
+    )
+    each = R.messages(stores.parse(files, "codex")).withColumn("b", F.explode("content"))
+    return each.select(
+        "id", "msg_idx", F.col("b.type").alias("type"), F.col("b.tool_use_id").alias("call"), F.coalesce("b.text", "b.output_text").alias("said"),
+        "model", F.col("b.is_error").alias("is_error"), F.col("usage.input_tokens").alias("input_tokens"),
+    )

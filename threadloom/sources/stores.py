@@ -178,6 +178,15 @@ def discover(spark: SparkSession, roots: dict[str, str], harness: str | None = N
     return heads.orderBy(F.desc("ts"), "harness", "source", "id")
 
 
+def cursors(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """(harness, source, id, cursor) of every session: what changes when the session
+    does.  A file's time and size, that of a folder's log or a record's transcript,
+    and where a database holds many sessions what the store itself counts up; '' where
+    nothing is known, so that such a session is always read."""
+    heads = discover(spark, roots)
+    return heads.select("harness", "source", "id", F.coalesce("fingerprint", F.lit("")).alias("cursor"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
