@@ -120,7 +120,7 @@ def test_greedy_chunks(spark):
 
 def test_simple_documents(spark, tmp_path):
     doc = {
-        "id": "s1", "timestamp": "2026-01-02T03:04:05Z", "cwd": "/w", "title": 5,
+        "id": "sess-7", "timestamp": "2025-11-12T03:04:05Z", "cwd": "/w", "title": 5,
         "messages": [
             {"role": "user", "content": "hello"},
             {"role": "system", "content": "no"},
@@ -133,7 +133,7 @@ def test_simple_documents(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"messages": []}')
     docs = simple.read_documents(spark, str(tmp_path))
     s = {r.id: r for r in simple.sessions(docs).collect()}
-    assert set(s) == {"s1", "c"} and s["s1"].title is None and s["s1"].cwd == "/w"
+    assert set(s) == {"sess-7", "c"} and s["sess-7"].title is None and s["sess-7"].cwd == "/w"
     m = simple.messages(docs)
     assert [(r.msg_idx, r.role) for r in m.orderBy("msg_idx").collect()] == [(0, "user"), (1, "assistant"), (2, "user")]
     b = simple.blocks(m).orderBy("msg_idx", "block_idx").collect()

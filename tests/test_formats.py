@@ -38,7 +38,7 @@ def sample():
         [
             base.message("user", [base.text("please fix it")], at(0)),
             base.message("assistant", [base.text("looking")], at(1), "model-x"),
-            base.message("assistant", [base.call("c1", "Edit", {"file_path": "a.py", "old_string": "x", "new_string": "y"})], at(1), "model-x", "tool_use", base.usage(10, 5)),
+            base.message("assistant", [base.call("c1", "Edit", {"file_path": "a.py", "new_string": "yy", "old_string": "xx"})], at(1), "model-x", "tool_use", base.usage(10, 5)),
             base.message("user", [base.result("c1", "done")], at(2)),
             base.message("assistant", [base.call("c2", "Bash", {"command": "ls", "workdir": "/w"})], at(3), "model-x", "tool_use"),
             base.message("user", [base.result("c2", "no such file", True)], at(4)),
@@ -67,7 +67,7 @@ def test_typing_needs_the_exact_keys_and_types():
 def test_values_are_never_coerced():
     assert base.S({"a": 5}, "a") is None and base.N({"a": True}, "a") is None and base.N({"a": -1}, "a") is None
     assert base.loads("NaN", None) is None and base.loads('"\\ud800"', None) is None and base.loads('"\\ud83d\\ude00"') == "😀"
-    assert base.when("2026-01-02T03:04:05") is None and base.when("2026-01-02T03:04:05+01:00").hour == 2
+    assert base.when("2025-11-12T03:04:05") is None and base.when("2025-11-12T03:04:05+01:00").hour == 2
     assert base.from_seconds(float("nan")) is None and base.from_seconds(1.5) == base.EPOCH + timedelta(seconds=1.5)
     for bad in ("", ".", "..", "a/b", "a:b", "a\n"):
         with pytest.raises(Unsupported):
@@ -79,7 +79,7 @@ def test_values_are_never_coerced():
 
 def entry(kind, uuid, content, parent=None, **more):
     m = {"role": kind, "content": content} | more.pop("message", {})
-    return {"type": kind, "uuid": uuid, "parentUuid": parent, "sessionId": "s1", "timestamp": "2026-01-02T03:04:05.500Z", "message": m} | more
+    return {"type": kind, "uuid": uuid, "parentUuid": parent, "sessionId": "sess-7", "timestamp": "2025-11-12T03:04:05.500Z", "message": m} | more
 
 
 def test_claude_code_reads_blocks_and_header():
@@ -93,7 +93,7 @@ def test_claude_code_reads_blocks_and_header():
             {"type": "tool_use", "id": "t1", "name": "Edit", "input": {"file_path": "f", "old_string": "a", "new_string": "b"}},
             {"type": "tool_use", "id": "t2", "name": "Artifact", "input": {"file_path": "/x/y.txt"}},
             {"type": "mystery"},
-        ], message={"model": "m1", "stop_reason": "tool_use", "usage": {"input_tokens": 1, "output_tokens": 2, "cache_read_input_tokens": 3}}, timestamp="2026-01-02T03:04:04Z"),
+        ], message={"model": "m1", "stop_reason": "tool_use", "usage": {"input_tokens": 1, "output_tokens": 2, "cache_read_input_tokens": 3}}, timestamp="2025-11-12T03:04:04Z"),
         entry("user", "u2", [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "ok"}], "is_error": True}]),
         entry("user", "u3", []),
         {"type": "user", "uuid": 7, "message": {"content": "bad uuid"}},
@@ -101,8 +101,8 @@ def test_claude_code_reads_blocks_and_header():
         {"type": "agent-name", "agentName": "ignored"},
     )
     ((meta, messages),) = load("claude_code", text)
-    assert (meta.id, meta.cwd, meta.git_branch, meta.cli_version, meta.model, meta.title) == ("s1", "/w", "dev", "9", "m1", "named")
-    assert meta.timestamp == datetime(2026, 1, 2, 3, 4, 4, tzinfo=UTC)
+    assert (meta.id, meta.cwd, meta.git_branch, meta.cli_version, meta.model, meta.title) == ("sess-7", "/w", "dev", "9", "m1", "named")
+    assert meta.timestamp == datetime(2025, 11, 12, 3, 4, 4, tzinfo=UTC)
     assert shape(messages) == [("user", ["text"]), ("assistant", ["thinking", "tool_use", "artifact"]), ("user", ["tool_result"])]
     assert messages[1]["usage"]["cache_read_input_tokens"] == 3 and messages[1]["content"][2]["name"] == "y.txt"
     assert messages[2]["content"][0] == base.result("t1", Json([{"type": "text", "text": "ok"}]), True)
@@ -141,12 +141,12 @@ def test_claude_code_payloads_of_commands_survive(out, args):
 
 
 def line(kind, **payload):
-    return {"timestamp": "2026-01-02T03:04:05Z", "type": kind, "payload": payload}
+    return {"timestamp": "2025-11-12T03:04:05Z", "type": kind, "payload": payload}
 
 
 def test_codex_folds_turns_searches_and_mirrored_results():
     text = jsonl(
-        line("session_meta", id="r1", cwd="/w", git={"branch": "b"}, timestamp="2026-01-01T00:00:00Z"),
+        line("session_meta", id="r1", cwd="/w", git={"branch": "b"}, timestamp="2025-11-11T00:00:00Z"),
         line("response_item", type="message", role="user", content=[{"type": "input_text", "text": " <environment_context>x"}]),
         line("response_item", type="message", role="user", content=[{"type": "input_text", "text": "go"}, {"type": "input_image", "image_url": "data:image/png;base64,QQ=="}]),
         line("turn_context", turn_id="t1", model="gpt"),
@@ -155,7 +155,7 @@ def test_codex_folds_turns_searches_and_mirrored_results():
         line("event_msg", type="exec_command_end", call_id="c1", aggregated_output="files", exit_code=2),
         line("response_item", type="function_call_output", call_id="c1", output="mirror"),
         line("response_item", type="function_call_output", call_id="c9", output="kept"),
-        line("response_item", type="custom_tool_call", name="apply_patch", call_id="p1", input="*** Begin Patch\n*** Update File: a.py\n@@\n-x\n+y\n z\n*** End Patch"),
+        line("response_item", type="custom_tool_call", name="apply_patch", call_id="p1", input="*** Begin Patch\n*** Update File: a.py\n@@\n-xx\n+yy\n z\n*** End Patch"),
         line("response_item", type="custom_tool_call_output", call_id="p1", output=json.dumps({"output": "Success", "metadata": {"exit_code": 0}})),
         line("event_msg", type="web_search_end", call_id="w1", query="cats", action={"type": "search", "queries": ["cats", "dogs"]}),
         line("response_item", type="web_search_call", action={"type": "search", "queries": ["cats", "dogs"]}),
@@ -170,7 +170,7 @@ def test_codex_folds_turns_searches_and_mirrored_results():
     assert [b["type"] for b in blocks] == ["text", "image", "thinking", "tool_use", "tool_result", "tool_result", "tool_use", "tool_result", "tool_result", "tool_use", "text"]
     assert blocks[2]["text"] == "a\n\nb" and blocks[3]["input"] == {"command": "ls -l", "workdir": "/q"}
     assert blocks[4] == base.result("c1", "files", True) and blocks[5] == base.result("c9", "kept")
-    assert (blocks[6]["name"], blocks[6]["input"]) == ("Edit", {"file_path": "a.py", "old_string": "x\nz", "new_string": "y\nz"})
+    assert (blocks[6]["name"], blocks[6]["input"]) == ("Edit", {"file_path": "a.py", "new_string": "yy\nz", "old_string": "xx\nz"})
     assert blocks[7] == base.result("p1", "Success") and blocks[8]["output"] == "cats\ndogs" and blocks[9]["id"] == "w1"
     assert m[-1]["model"] == "gpt" and m[-1]["usage"] == base.usage(7, 8, 1)
     assert load("codex", jsonl(line("session_meta", cwd="/w"))) == []
@@ -197,7 +197,7 @@ def test_codex_patches(patch, want):
 
 def test_pi_reads_runs_and_edits():
     text = jsonl(
-        {"type": "session", "version": 3, "id": "p1", "timestamp": "2026-01-02T03:04:05Z", "cwd": "/w"},
+        {"type": "session", "version": 3, "id": "p1", "timestamp": "2025-11-12T03:04:05Z", "cwd": "/w"},
         {"type": "model_change", "modelId": "m2"}, {"type": "session_info", "name": " T "},
         {"type": "message", "id": "1", "message": {"role": "user", "content": "hi"}},
         {"type": "message", "id": "2", "message": {"role": "bashExecution", "command": "rm", "excludeFromContext": True}},
@@ -309,7 +309,7 @@ def test_claude_chat_follows_the_active_branch():
     def msg(id_, parent, sender, *content, **more):
         return {"uuid": id_, "parent_message_uuid": parent, "sender": sender, "content": list(content)} | more
 
-    doc = {"uuid": "v", "summary": "S", "created_at": "2026-01-01T00:00:00Z", "model": {"id": "mm"}, "current_leaf_message_uuid": "c", "$x_files": {"f1": {"data": "QQ==", "file_name": "a.bin"}}, "$x_images": {"i1": {"type": "base64", "media_type": "image/png", "data": "QQ"}}, "chat_messages": [
+    doc = {"uuid": "v", "summary": "S", "created_at": "2025-11-11T00:00:00Z", "model": {"id": "mm"}, "current_leaf_message_uuid": "c", "$x_files": {"f1": {"data": "QQ==", "file_name": "a.bin"}}, "$x_images": {"i1": {"type": "base64", "media_type": "image/png", "data": "QQ"}}, "chat_messages": [
         msg("a", None, "human", {"type": "text", "text": "q"}, text="q", files=[{"uuid": "i1"}, {"id": "i1"}]),
         msg("x", "a", "assistant", {"type": "text", "text": "other branch"}),
         msg("c", "a", "assistant", {"type": "tool_use", "id": "t", "name": "view", "input": {"path": "f", "description": "d", "view_range": [1, 4]}},
@@ -341,7 +341,7 @@ def test_simple_pairs_first_in_first_out():
         {"role": "Assistant ", "content": [{"type": "tool_use", "name": "A", "input": {}}, {"type": "tool_use", "name": "B", "id": "b"}]},
         {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "b"}, {"type": "tool_result", "content": {"x": 1}}, {"type": "tool_result"}]},
         {"role": "user", "content": "late", "timestamp": "broken"}, {"role": "system", "content": "no"},
-        {"role": "user", "content": "x", "timestamp": "2026-01-02T03:04:05Z", "stop_reason": {"other": "end_turn"}}, {"role": "user", "content": "y"},
+        {"role": "user", "content": "x", "timestamp": "2025-11-12T03:04:05Z", "stop_reason": {"other": "end_turn"}}, {"role": "user", "content": "y"},
     ]}
     ((meta, m),) = load("simple", json.dumps(doc))
     assert meta.id == "one" and meta.timestamp == T0 and len(m) == 4

@@ -256,3 +256,9 @@ def test_what_a_user_types():
 def test_cursors_follow_what_changes(spark, roots):
     found = stores.cursors(spark, roots)
     assert found.where("cursor = ''").count() == 0 and found.count() == 12
+
+
+def test_records_keep_lines_as_they_are(spark):
+    text = '{"type":"a","x":1.0}\n\nnot json\r\n[1]\n{"type":5}\r\n{"y":2}'
+    files = spark.createDataFrame([("s", None, None, [("f", bytearray(text.encode()))])], stores.FILES)
+    assert [tuple(r) for r in stores.records(files).orderBy("line_no").collect()] == [("s", 0, '{"type":"a","x":1.0}', "a"), ("s", 4, '{"type":5}', None), ("s", 5, '{"y":2}', None)]

@@ -293,3 +293,12 @@ def codex_fold(spark, d):
         "id", "msg_idx", F.col("b.type").alias("type"), F.col("b.tool_use_id").alias("call"), F.coalesce("b.text", "b.output_text").alias("said"),
         "model", F.col("b.is_error").alias("is_error"), F.col("usage.input_tokens").alias("input_tokens"),
     )
+
+
+@query("""SELECT source, kind, count(*) AS n, min(line_no) AS first_line FROM (
+        SELECT source, role AS kind, msg_idx + (titled)::INT AS line_no FROM (SELECT m.*, coalesce(title, '') <> '' AS titled FROM messages m JOIN sessions s USING (source))
+        UNION ALL SELECT source, 'summary', 0 FROM sessions WHERE coalesce(title, '') <> '') GROUP BY ALL""")
+def records_typed(spark, d):
+    """Native lines by kind, straight from the files' bytes."""
+    found = stores.records(stores.convert(bridge.transcripts(spark, d), "claude_code"))
+    return found.groupBy("source", "kind").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))

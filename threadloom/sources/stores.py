@@ -134,6 +134,15 @@ def units(spark: SparkSession, harness: str, root: str) -> DataFrame:
     return grouped if fmt.units == "folder" else grouped.where(F.exists("files", lambda f: f["name"] == "record"))
 
 
+def records(files: DataFrame) -> DataFrame:
+    """(source, line_no, raw, kind) of units that hold one JSON object to a line; blank
+    and broken lines are left out, and ``raw`` is the line as it stands."""
+    each = files.select("source", F.posexplode(F.split(F.decode(F.col("files")[0]["content"], "utf-8"), "\r?\n")).alias("line_no", "raw"))
+    known = each.where((F.trim("raw") != "") & F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"))
+    kind = F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), "$.type", "variant")) == "STRING", F.get_json_object("raw", "$.type"))
+    return known.select("source", F.col("line_no").cast("bigint").alias("line_no"), "raw", kind.alias("kind"))
+
+
 def parse(files: DataFrame, harness: str, strict: bool = False) -> DataFrame:
     """Transcripts of units (source, mtime, fingerprint, files); other columns of
     ``files`` are left out.  ``strict`` raises where a unit can't be read."""
