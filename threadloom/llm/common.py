@@ -150,7 +150,7 @@ class WordHash(dict):
     """word -> 64-bit hash that is the same in every process.  The memo is
     emptied when it holds ``most`` words, so a worker's memory is bounded."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
@@ -171,6 +171,29 @@ def texts(column: pa.Array) -> Iterator[str | None]:
         yield x.as_py()
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` that gives memory back to the machine when its task ends: Python workers
+    live on, and what one stage held isn't the next one's."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return go
+
+
+def _release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def key_chunks(
     batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65_536
 ) -> Iterator[pa.Table]:
@@ -242,4 +265,4 @@ def with_length(
                 [*names, "n_tokens"],
             )
 
-    return chosen.mapInArrow(run, f"{schema}{', ' if schema else ''}n_tokens bigint")
+    return chosen.mapInArrow(lean(run), f"{schema}{', ' if schema else ''}n_tokens bigint")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, pick, stored, unpick
+from .common import lean, maybe_broadcast, pick, stored, unpick
 
 #: Keys a bucket holds before it splits.
 BUCKET_ENTRIES = 16_384
@@ -123,7 +123,7 @@ def _owned(rows: DataFrame, directory: Directory, owners: int) -> DataFrame:
             )
 
     schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.LongType()), T.StructField("owner", T.IntegerType())])
-    placed = rows.mapInArrow(place, schema).repartitionById(owners, "owner")
+    placed = rows.mapInArrow(lean(place), schema).repartitionById(owners, "owner")
     return placed.drop("owner").sortWithinPartitions("key")
 
 
@@ -230,10 +230,10 @@ class Chains:
         kind = rows.schema["id"].dataType
         fields = [T.StructField("key", T.LongType()), T.StructField("text", T.BinaryType())]
         counts = [T.StructField("same", T.LongType()), T.StructField("n", T.LongType())]
-        firsts = rows.mapInArrow(_combine(combine), T.StructType([*fields, T.StructField("id", kind), *counts]))
+        firsts = rows.mapInArrow(lean(_combine(combine)), T.StructType([*fields, T.StructField("id", kind), *counts]))
         owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         chained = _owned(firsts, directory, owners).select("key", "text", "id", "same", "n")
-        found = chained.mapInArrow(_chain, T.StructType([*fields, T.StructField("kept_id", kind), *counts]))
+        found = chained.mapInArrow(lean(_chain), T.StructType([*fields, T.StructField("kept_id", kind), *counts]))
         found = stored(found, "exact-chains")
         self.alone = found.where("text IS NULL AND n > 1").select("key", "kept_id", "same")
         self.collided = found.where("text IS NOT NULL").select("key", F.col("text").cast("string").alias("c_text"), "kept_id", "same")

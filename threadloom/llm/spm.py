@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, pick, texts
+from .common import TOKENIZERS, lean, pick, texts
 
 SPACE = "▁"
 #: Characters of text whose units are collected before they are matched.
@@ -443,7 +443,7 @@ def encode(
 
     schema = f"id {kind}, token_ids array<int>, n_tokens bigint" + (", round_trip boolean" if check else "")
     chosen = pick(docs, id=id_col, text=text_col)
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode(
@@ -464,4 +464,4 @@ def decode(
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], ["id", "text"])
 
     chosen = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return chosen.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(lean(run), f"id {kind}, text string").withColumnRenamed("id", id_col)

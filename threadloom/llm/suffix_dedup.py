@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .colbwt import repeats
-from .common import WordHash, fits, key_chunks, maybe_broadcast, pick, position, registered, shared_dir, stored, texts, unpick
+from .common import WordHash, fits, key_chunks, lean, maybe_broadcast, pick, position, registered, shared_dir, stored, texts, unpick
 
 LEAST = 50
 GRAM = 16
 #: Symbols that are sorted together; a single owner's strings are never parted.
-CHUNK_SYMBOLS = 1_000_000
+CHUNK_SYMBOLS = 500_000
 #: Distinct words of those; so many have numbers of two bytes, which sort faster.
 CHUNK_WORDS = 60_000
 #: Texts of an owner beyond which its strings don't go to one task.
@@ -152,7 +152,7 @@ def _thin(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int) ->
             )
 
     return stored(
-        rows.mapInArrow(run, f"h1 bigint, h2 bigint, id {kind}, n_words int, owners array<bigint>"), "suffix-texts"
+        rows.mapInArrow(lean(run), f"h1 bigint, h2 bigint, id {kind}, n_words int, owners array<bigint>"), "suffix-texts"
     )
 
 
@@ -200,7 +200,7 @@ def _shared_owners(thin: DataFrame, hot: int = HOT_OWNER) -> DataFrame:
             yield out(None, np.array([last]), np.array([size]))
 
     sorted_ = pairs.repartition("owner").sortWithinPartitions("owner", "key")
-    return stored(sorted_.mapInArrow(choose, "key bigint, owner bigint, n bigint"), "suffix-shared")
+    return stored(sorted_.mapInArrow(lean(choose), "key bigint, owner bigint, n bigint"), "suffix-shared")
 
 
 def _owned_strings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, least: int, gram: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _owned_strings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
             T.StructField("string", T.StringType()),
         ]
     )
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _first_of_groups(parts, rank: np.ndarray, pos0: np.ndarray, sizes: np.ndarray):
@@ -395,7 +395,7 @@ def _repeats_of_owners(strings: DataFrame, least: int, chunk: int) -> DataFrame:
     owned = strings.repartition("owner").sortWithinPartitions(
         "owner", "string", F.col("id").asc_nulls_last(), "row", "start"
     )
-    return owned.mapInArrow(run, schema)
+    return owned.mapInArrow(lean(run), schema)
 
 
 def _repeats_of_hot(strings: DataFrame, least: int) -> DataFrame:
@@ -546,7 +546,7 @@ def cut_repeats(
             yield pa.RecordBatch.from_arrays([b.column("whole"), pa.array(left, pa.string())], ["whole", "left"])
 
     schema = T.StructType([T.StructField("whole", joined.schema["whole"].dataType), T.StructField("left", T.StringType())])
-    changed = joined.where("cut IS NOT NULL").select("whole", "text", "cut").mapInArrow(run, schema).where("left <> ''")
+    changed = joined.where("cut IS NOT NULL").select("whole", "text", "cut").mapInArrow(lean(run), schema).where("left <> ''")
     new = []
     for i, c in enumerate(docs.columns):
         if i == position(docs, text_col):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored, texts
+from .common import lean, pick, stored, texts
 
 K = 10
 K1, B = 1.2, 0.75
@@ -68,7 +68,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str,
                 ["doc_id", "n_words", "terms", "counts"],
             )
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_words bigint, terms binary, counts binary")
+    return chosen.mapInArrow(lean(run), f"doc_id {kind}, n_words bigint, terms binary, counts binary")
 
 
 def document_frequencies(stored_postings: DataFrame, n_terms: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def document_frequencies(stored_postings: DataFrame, n_terms: int) -> np.ndarray
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
-    parts = stored_postings.select("terms").mapInArrow(run, "term bigint, df bigint")
+    parts = stored_postings.select("terms").mapInArrow(lean(run), "term bigint, df bigint")
     out = np.zeros(n_terms, np.int64)
     for r in parts.groupBy("term").agg(F.sum("df").alias("df")).collect():
         out[r[0]] = r[1]
@@ -212,7 +212,7 @@ def _pass(docs: DataFrame, id_col: str, text_col: str, queries: list[tuple[int,
             ["q", "doc_id", "score"],
         )
 
-    return post.mapInArrow(run, f"q bigint, doc_id {kind}, score bigint")
+    return post.mapInArrow(lean(run), f"q bigint, doc_id {kind}, score bigint")
 
 
 def search(

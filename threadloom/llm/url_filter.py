@@ -22,7 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import lean, pick
 
 Terms = Iterable[tuple[str, float]]
 TERMS_FILE = Path(__file__).with_name("url_terms.tsv")
@@ -93,7 +93,7 @@ def filter_urls(
                 ["id", "url", "strict_hits", "soft_hits", "rejected"],
             )
 
-    out = chosen.mapInArrow(run, f"id {kind}, url string, strict_hits bigint, soft_hits bigint, rejected boolean")
+    out = chosen.mapInArrow(lean(run), f"id {kind}, url string, strict_hits bigint, soft_hits bigint, rejected boolean")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
