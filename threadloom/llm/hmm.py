@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored, texts
+from .common import lean, maybe_broadcast, pick, stored, texts
 
 STATES = 8
 #: Symbols of their own, at least, and how many for the root of the corpus's words.
@@ -52,6 +52,8 @@ ROUNDS = 4
 SEGMENT = 1024
 #: Words that a task works on at a time.
 BATCH_WORDS = 1_000_000
+#: Words or classes of the model up to which a join with them is a broadcast.
+MODEL_BROADCAST = 500_000
 _UNIT = 1 << 16
 #: Logarithms of shares are added in units of 2^-32.
 _LOG_UNIT = 1 << 32
@@ -82,7 +84,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     c.clear()
         yield out()
 
-    parts = pick(docs, text=text_col).mapInArrow(run, "word string, n bigint")
+    parts = pick(docs, text=text_col).mapInArrow(lean(run), "word string, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -161,7 +163,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]
                 [pa.array(rows), b.column("id"), pa.array(out, pa.binary()), lists], ["row", "id", "symbols", "rare"]
             )
 
-    return chosen.mapInArrow(run, f"row bigint, id {kind}, symbols binary, rare array<bigint>")
+    return chosen.mapInArrow(lean(run), f"row bigint, id {kind}, symbols binary, rare array<bigint>")
 
 
 def class_shares(counts: DataFrame, known: list[str], classes: int) -> tuple[DataFrame, np.ndarray]:
@@ -169,7 +171,7 @@ def class_shares(counts: DataFrame, known: list[str], classes: int) -> tuple[Dat
     logarithm of its part of its class; and the logarithm for an unseen word of
     each class.  A class has as many unseen words as seen ones and one more."""
     least = counts.sparkSession.createDataFrame([(w,) for w in known], "word string")
-    rare = counts.join(F.broadcast(least), "word", "left_anti").select(hashed("word").alias("hash"), "n")
+    rare = counts.join(maybe_broadcast(least, MODEL_BROADCAST), "word", "left_anti").select(hashed("word").alias("hash"), "n")
     rare = rare.groupBy("hash").agg(F.sum("n").alias("n")).withColumn("class", (F.col("hash") % classes).cast("int"))
     once = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
     stats = rare.groupBy("class").agg(F.sum("n").alias("total"), (once + 1).alias("kept"), (F.count("*") + 1).alias("types"))
@@ -180,15 +182,16 @@ def class_shares(counts: DataFrame, known: list[str], classes: int) -> tuple[Dat
     whole = counts.sparkSession.createDataFrame(
         [(r["class"], r["total"] + r["kept"]) for r in sizes], "class int, whole bigint"
     )
-    return rare.join(F.broadcast(whole), "class").select("hash", F.log(F.col("n") / F.col("whole")).alias("share")), unseen
+    return rare.join(maybe_broadcast(whole, MODEL_BROADCAST), "class").select("hash", F.log(F.col("n") / F.col("whole")).alias("share")), unseen
 
 
 def with_shares(seqs: DataFrame, shares: DataFrame, unseen: np.ndarray) -> DataFrame:
     """Stored sequences and ``tail``, the sum of the logarithms of the shares of
     a row's words outside the vocabulary."""
+    none = seqs.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(unseen)], "class int, none double")
     each = seqs.select("row", F.explode("rare").alias("hash")).join(shares, "hash", "left")
-    none = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), (F.col("hash") % len(unseen) + 1).cast("int"))
-    unit = F.round(F.coalesce("share", none) * _LOG_UNIT).cast("long")
+    each = each.withColumn("class", (F.col("hash") % len(unseen)).cast("int")).join(maybe_broadcast(none, MODEL_BROADCAST), "class")
+    unit = F.round(F.coalesce("share", "none") * _LOG_UNIT).cast("long")
     tails = stored(each.groupBy("row").agg(F.sum(unit).alias("units")), "hmm-tails")
     tail = F.coalesce(F.col("units") / _LOG_UNIT, F.lit(0.0)).alias("tail")
     return seqs.join(tails, "row", "left").select("id", "symbols", tail)
@@ -391,7 +394,7 @@ def _round(seqs: DataFrame, model: HMM) -> HMM:
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(whole[at, i]) for i in range(k))], ["i", *names])
 
     counts = np.zeros((m + k + 1, k))
-    parts = seqs.select("symbols").mapInArrow(run, ", ".join(f"{n} bigint" for n in ["i", *names]))
+    parts = seqs.select("symbols").mapInArrow(lean(run), ", ".join(f"{n} bigint" for n in ["i", *names]))
     # one row for each symbol of the model comes back
     got = parts.groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     counts[got.column("i").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1) / _UNIT
@@ -443,7 +446,7 @@ def score(seqs: DataFrame, model: HMM) -> DataFrame:
                 ["id", "n_words", "log_likelihood", "perplexity"],
             )
 
-    return seqs.select("id", "symbols", "tail").mapInArrow(run, f"id {kind}, n_words bigint, log_likelihood double, perplexity double")
+    return seqs.select("id", "symbols", "tail").mapInArrow(lean(run), f"id {kind}, n_words bigint, log_likelihood double, perplexity double")
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
