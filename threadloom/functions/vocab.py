@@ -11,7 +11,7 @@ HARNESSES = (
 )
 
 _MORE = {
-    "claude_code": "claude claude-code claudecode", "claude_chat": "claude-chat claude_web claude-web", "opencode": "open_code open-code",
+    "claude_code": "claude claude-code claudecode cc", "claude_chat": "claude-chat claude_web claude-web", "opencode": "open_code open-code",
     "cursor": "cursor_cli cursor-cli cursorcli", "cursor_desktop": "cursor-desktop cursordesktop cursor_ide cursor-ide",
     "grok": "grok_cli grok-cli grokcli grok_build grok-build", "hermes": "hermes_agent hermes-agent hermesagent", "amp": "ampcode amp_code amp-code",
     "antigravity": "agy antigravity_cli antigravity-cli anti-gravity", "simple": "simple_json simple-json",
