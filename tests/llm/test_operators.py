@@ -323,6 +323,39 @@ def test_simhash_finds_isolated_pairs(spark, bits):
     assert got <= pairs and len(got) > (0.98 if bits > 50 else 0.999) * len(pairs)
 
 
+@pytest.mark.parametrize("least", [simhash.LEAST_SIDE_ROWS, 600])
+def test_simhash_loses_no_isolated_pair(spark, monkeypatch, least):
+    """Every pair at 80 bits is linked and none at 81, in one side and in several."""
+    monkeypatch.setattr(simhash, "LEAST_SIDE_ROWS", least)
+    r = np.random.default_rng(21)
+    one = r.integers(0, 256, (2000, simhash.BITS // 8)).astype(np.uint8)
+    flips = np.zeros((len(one), simhash.BITS), np.uint8)
+    for n, f in enumerate(flips):
+        f[r.permutation(simhash.BITS)[: simhash.MAX_DISTANCE + n % 2]] = 1
+    two = one ^ np.packbits(flips, axis=1)
+    pairs = [frozenset((a.tobytes(), b.tobytes())) for a, b in zip(one, two)]
+    fps = spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")
+    got = {frozenset((bytes(e.u), bytes(e.v))) for e in simhash.near_edges(fps).collect()}
+    assert got == set(pairs[::2])
+
+
+def test_simhash_second_pass_equals_brute_force():
+    """Chains, copies of many rows and classes that are known already."""
+    r = np.random.default_rng(22)
+    rows = np.repeat(r.integers(0, 2, (60, simhash.BITS)), 10, axis=0).astype(np.uint8)
+    for x in rows:
+        x[r.permutation(simhash.BITS)[: r.integers(1, 70)]] ^= 1
+    fps, classes = np.packbits(rows, axis=1), np.arange(len(rows)) // r.integers(1, 3)
+    near = simhash.distance(fps[:, None].view(np.uint64), fps[None].view(np.uint64)) <= simhash.MAX_DISTANCE
+    for a, b in ((slice(None), slice(None)), (slice(0, 250), slice(250, None))):
+        x = fps[a]
+        y = x if a == b else fps[b]
+        u, v = simhash.links(x, classes[a], y, classes[b], simhash.MAX_DISTANCE)
+        want = {tuple(sorted((p, q))) for p, q in zip(*(c[i] for c, i in zip((classes[a], classes[b]), np.nonzero(near[a, b])))) if p != q}
+        got = [tuple(sorted((p, q))) for p, q in zip(classes[a][u], classes[b][v])]
+        assert near[a, b][u, v].all() and len(got) == len(set(got)) and set(got) == want
+
+
 def test_simhash_never_misses_a_pair_below_the_bound(spark):
     """Pairs that differ in each block but one, of either level: the worst that
     ``TABLES`` - 1 bits can do."""
