@@ -284,6 +284,38 @@ def test_toxicity_sample_is_bounded(spark):
     assert got[0] == got[1] and len(got[0]) == 2
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A word that only documents late in the order of ids' hashes have; the order of
+    rows and slices of the labels change nothing."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    ids = spark.range(9_000).withColumn("h", F.xxhash64("id")).orderBy("h").collect()
+    rows = []
+    for k, x in enumerate(ids):
+        toxic = k % 3 == 0
+        bad = [] if not toxic else ["vilest"] if k < 6_000 else ["rottenly"]
+        rows.append((x.id, " ".join([f"plain{i}" for i in r.integers(0, 500, 6)] + bad), "en", 0, int(toxic), k >= 6_000))
+    all_rows = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int, toxic int, late boolean")
+    docs, labels = all_rows.select("doc_id", "text", "lang"), all_rows.select("doc_id", "quality", "toxic")
+    got = {r.doc_id: (r.score, r.toxic) for r in toxicity.classify(docs, labels).collect()}
+    late = [got[x[0]][1] for x in rows if x[4] and x[5]]
+    assert len(late) == 1_000 and np.mean(late) > 0.99
+    assert np.mean([got[x[0]][1] for x in rows if not x[4]]) < 0.01
+    monkeypatch.setattr(toxicity, "LABEL_BROADCAST", 4_000)
+    again = toxicity.classify(docs.repartition(3), labels.repartition(5)).collect()
+    assert {r.doc_id: (r.score, r.toxic) for r in again} == got
+
+
+def test_toxicity_threshold_from_counts_is_that_of_documents():
+    r = np.random.default_rng(9)
+    toxic = r.random(3_000) < 0.2
+    score = np.rint(np.clip(r.normal(0.4 + 0.2 * toxic, 0.1), 0, 1) * 200) / 200
+    steps, back = np.unique(score, return_inverse=True)
+    counts = [np.bincount(back, x, len(steps)) for x in (toxic, ~toxic)]
+    assert toxicity.best_threshold(steps, *counts) == toxicity.best_threshold(score, toxic)
+
+
 # SimHash
 
 
