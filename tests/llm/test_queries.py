@@ -108,6 +108,27 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(r.used for r in got if r.window_id >= 0) == sorted(packing.WINDOW - x for x in rooms)
 
 
+def test_pipeline_drops_near_copies_without_a_common_block(spark):
+    """Pairs of texts within the distance that the blocks of the first pass don't bring
+    together."""
+    r, make, rows = np.random.default_rng(31), simhash.Fingerprints(), []
+    for n in range(6000):
+        words = [f"word{x}" for x in r.choice(10**6, 60, False)]
+        other = words[:-7] + [f"else{x}" for x in r.choice(10**6, 7, False)]
+        texts = [" ".join(w) for w in (words, other)]
+        fps = np.frombuffer(b"".join(map(make.of, texts)), np.uint8).reshape(2, -1)
+        if not 70 <= simhash.distance(*fps) <= simhash.MAX_DISTANCE:
+            continue
+        bits, keys = np.unpackbits(fps, axis=1), simhash.table_keys(fps)
+        tables = np.flatnonzero(keys[0] == keys[1])
+        if not (bits[0] == bits[1])[simhash.set_bits(simhash.SET_BITS)[tables]].all(axis=2).any():
+            rows += [(2 * n, texts[0]), (2 * n + 1, texts[1])]
+    assert len(rows) >= 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF).collect()]
+    assert sorted(kept) == sorted(i for i, _ in rows[::2])
+
+
 AWKWARD = [
     (1, "one two three four five six", "en"), (1, "one two three four five six", "en"), (2, None, None), (3, "", "en"), (None, "lost words stay here", "de"),
     (None, None, None), (4, " ".join(f"w{n % 977}" for n in range(30_000)), "en"),
