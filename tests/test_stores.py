@@ -262,3 +262,59 @@ def test_records_keep_lines_as_they_are(spark):
     text = '{"type":"a","x":1.0}\n\nnot json\r\n[1]\n{"type":5}\r\n{"y":2}'
     files = spark.createDataFrame([("s", None, None, [("f", bytearray(text.encode()))])], stores.FILES)
     assert [tuple(r) for r in stores.records(files).orderBy("line_no").collect()] == [("s", 0, '{"type":"a","x":1.0}', "a"), ("s", 4, '{"type":5}', None), ("s", 5, '{"y":2}', None)]
+
+
+class Captured:
+    """A frame that keeps the function given to ``mapInArrow``."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def peak(batches):
+    """Batches that a generator gives, as they come, and the most MB of Python's and of
+    one batch meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    rows, largest = 0, 0
+    for x in batches:
+        rows, largest = rows + x.num_rows, max(largest, x.nbytes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, most / 1e6, largest / 1e6
+
+
+def many(n, messages):
+    """One batch of sessions, as Spark would give it."""
+    one = talk(1, "some words " * 40)
+    one.messages = (one.messages * messages)[:messages]
+    rows = [stores.transcript_row("simple", base_unit(k), None, one.meta, one.messages) for k in range(n)]
+    return stores._batch(rows, stores.SCHEMA)
+
+
+def base_unit(k):
+    from threadloom.formats import Unit
+
+    return Unit(f"/s/{k}", {}, T0)
+
+
+def test_tools_go_through_a_format_in_one_worker_a_task_and_a_piece_of_memory(spark):
+    from threadloom.plans import transcripts as plans
+
+    tools = plans.convert_tools(spark, "/root/testdata/sf0.001")
+    assert tools._jdf.queryExecution().analyzed().toString().count("MapInArrow") == len(plans.EXACT)
+    batch = many(150, 60)
+    rows, python, _ = peak(stores.through(Captured(), "claude_code").run(iter([batch])))
+    assert rows == 150 and python < 20
+
+
+def test_through_a_format_as_written_and_read(spark):
+    rows = frame(spark, *[talk(n, "x" * n) for n in range(5)])
+    for name in ("claude_code", "codex", "antigravity", "cursor", "cowork"):
+        apart = stores.parse(stores.convert(rows, name), name).collect()
+        assert sorted(stores.through(rows, name).collect()) == sorted(apart) and len(apart) == 5
