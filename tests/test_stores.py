@@ -318,3 +318,13 @@ def test_through_a_format_as_written_and_read(spark):
     for name in ("claude_code", "codex", "antigravity", "cursor", "cowork"):
         apart = stores.parse(stores.convert(rows, name), name).collect()
         assert sorted(stores.through(rows, name).collect()) == sorted(apart) and len(apart) == 5
+
+
+def test_databases_are_made_and_read_a_piece_at_a_time():
+    made = list(stores.convert(Captured(), "antigravity").run(iter([many(200, 6)])))
+    assert sum(x.num_rows for x in made) == 200 and max(x.nbytes for x in made) < 2 << 20
+    import pyarrow as pa
+
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()
+    rows, python, largest = peak(stores.parse(Captured(), "antigravity").run(iter(whole)))
+    assert len(whole) == 1 and rows == 200 and python < 8 and largest < 2
