@@ -328,3 +328,10 @@ def test_databases_are_made_and_read_a_piece_at_a_time():
     whole = pa.Table.from_batches(made).combine_chunks().to_batches()
     rows, python, largest = peak(stores.parse(Captured(), "antigravity").run(iter(whole)))
     assert len(whole) == 1 and rows == 200 and python < 8 and largest < 2
+
+
+def test_rollouts_are_made_and_read_a_piece_at_a_time():
+    rows, python, largest = peak(stores.convert(Captured(), "codex").run(iter([many(1_500, 6)])))
+    assert rows == 1_500 and python < 12 and largest < 2
+    rows, python, largest = peak(stores.through(Captured(), "codex").run(iter([many(1_500, 6)])))
+    assert rows == 1_500 and python < 12 and largest < 2
